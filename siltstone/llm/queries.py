@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, sharding, token_counts
-from .common import table
+from . import bpe, exact_dedup, fingerprints, near_join, packing, sharding, token_counts
+from .common import table, whole_text
 
 #: Tokens of the context that op2's over_limit is about.
 CONTEXT = 4096
@@ -25,6 +25,19 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"), "fits_chars")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths in byte-level tokens: one for each UTF-8 byte, and one end."""
+    return packing.pack(table(spark, sf_dir, "documents"), F.octet_length(whole_text()) + 1)
+
+
+def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -35,7 +48,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_token_counts": op2_token_counts, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_near_join": op4_near_join, "op6_fingerprints": op6_fingerprints, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql():
