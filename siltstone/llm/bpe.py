@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ship
-from .kernels import HashMap, edges_of, gather
+from .kernels import HashMap, edges_of, gather, in_slices
 
 #: Bytes of a piece up to which it goes into a matrix.
 LONG = 256
@@ -207,19 +207,6 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
-def in_slices(texts: list[str], most: int = 1 << 21) -> Iterator[list[str]]:
-    """The texts in runs of about most characters, so that a worker's arrays stay small."""
-    some, size = [], 0
-    for t in texts:
-        some.append(t)
-        size += len(t)
-        if size >= most:
-            yield some
-            some, size = [], 0
-    if some:
-        yield some
-
-
 def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 

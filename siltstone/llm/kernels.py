@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -135,3 +137,16 @@ def shingle_hashes(words: np.ndarray, edges: np.ndarray, size: int = 5) -> tuple
         follow = words[np.where(inside, at + k, at)] if len(at) else words[:0]
         out = np.where(inside, mix(out * _SPREAD + follow), out)
     return out, out_edges
+
+
+def in_slices(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+    """The texts in runs of about most characters, so that a worker's arrays stay small."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some

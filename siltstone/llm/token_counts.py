@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import ship
-from .kernels import HashMap
+from .kernels import HashMap, edges_of, in_slices
 
 #: Words whose tables a worker remembers; then it starts anew.
 REMEMBERED = 700_000
@@ -126,33 +127,31 @@ class PrefixCounter:
         sums = np.zeros((n, width + 1), np.uint64)
         for k in range(width):
             sums[:, k + 1] = sums[:, k] * np.uint64(_BASE) + codes[:, k] + np.uint64(1)
-        power, found = 1, []
+        power, hits = 1, []
         for k in range(1, min(self.longest, width) + 1):
             power = power * _BASE % 2**64
-            found.append(self.by_hash.get(sums[:, k:] - sums[:, :-k] * np.uint64(power)))
+            piece = self.by_hash.get(sums[:, k:] - sums[:, :-k] * np.uint64(power))
+            piece[np.arange(k, width + 1) > size[:, None]] = -1
+            row, start = np.nonzero(piece >= 0)
+            hits.append((start + k, row, start, piece[row, start]))
+        end, row, start, piece = (np.concatenate(x) for x in zip(*hits, strict=True))
+        order = np.argsort(end.astype(np.int16), kind="stable")
+        row, start, piece = row[order], start[order], piece[order]
+        parts = np.searchsorted(end[order], np.arange(1, width + 2))
         last = np.full((n, width + 1), -1)
         count = np.zeros((n, width + 1), np.int64)
         in_bytes = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
         for i in range(1, width + 1):
-            open_ = np.flatnonzero(size >= i)
-            for k in range(min(self.longest, i), 0, -1):
-                piece = found[k - 1][open_, i - k]
-                some = piece >= 0
-                rows, piece = open_[some], piece[some]
-                before = last[rows, i - k]
-                ok = before < 0
-                ask = np.flatnonzero(~ok)
-                if len(ask):
-                    ok[ask] = self._may_follow(before[ask], piece[ask])
-                last[rows[ok], i] = piece[ok]
-                count[rows[ok], i] = count[rows[ok], i - k] + 1
-                if ok.any():
-                    left = np.ones(len(open_), bool)
-                    left[np.flatnonzero(some)[ok]] = False
-                    open_ = open_[left]
-                if not len(open_):
-                    break
-            count[open_, i] = count[open_, i - 1] + in_bytes[open_, i - 1]
+            count[:, i] = count[:, i - 1] + in_bytes[:, i - 1]  # where no piece ends: one token for each of the character's bytes
+            r, j, p = (x[parts[i - 1] : parts[i]] for x in (row, start, piece))
+            before = last[r, j]
+            ok = before < 0
+            ask = np.flatnonzero(~ok)
+            if len(ask):
+                ok[ask] = self._may_follow(before[ask], p[ask])
+            r, j = r[ok], j[ok]
+            last[r, i] = p[ok]
+            count[r, i] = count[r, j] + 1
         return count[np.arange(n), size]
 
     def words(self, text: str) -> list[str]:
@@ -164,20 +163,29 @@ class PrefixCounter:
 
     def word_counts(self, words: list[str]) -> np.ndarray:
         """The number of tokens of each word."""
-        seen = self.seen
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        self.learn([*set(words).difference(seen)])
-        return np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        return self.each_count([words])[0]
+
+    def each_count(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of tokens of each text's words."""
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear()
+        if new := set().union(*texts).difference(self.seen):
+            self.learn([*new])
+        edges = edges_of(np.fromiter(map(len, texts), np.int64, len(texts)))
+        flat = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(texts)), np.int64, int(edges[-1]))
+        return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
     def learn(self, words: list[str]) -> None:
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
         low = 0
         for width in _CLASSES:
-            some = [w for w in words if low < len(w) <= width]
+            some = np.flatnonzero((sizes > low) & (sizes <= width)).tolist()
             low = width
             for k in range(0, len(some), 1 << 14):
-                self.seen.update(zip(some[k : k + (1 << 14)], self.totals(some[k : k + (1 << 14)], width).tolist(), strict=True))
-        self.seen.update((w, self.table(w)[-1]) for w in words if len(w) > _CLASSES[-1])
+                part = [words[x] for x in some[k : k + (1 << 14)]]
+                self.seen.update(zip(part, self.totals(part, width).tolist(), strict=True))
+        for x in np.flatnonzero(sizes > low).tolist():
+            self.seen[words[x]] = self.table(words[x])[-1]
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of the text's prefixes of 0, 1, ... characters."""
@@ -194,26 +202,26 @@ class PrefixCounter:
     def count(self, text: str) -> int:
         return int(self.word_counts(self.words(text)).sum())
 
-    def fits(self, text: str, budget: int, counts: np.ndarray | None = None) -> int:
-        """Characters of the longest prefix, all of whose own prefixes fit too, of at most budget tokens."""
-        words = self.words(text)
+    def fits(self, text: str, budget: int, words: list[str] | None = None, counts: np.ndarray | None = None) -> int:
+        """Characters of the longest prefix of at most budget tokens, all of whose own prefixes fit too."""
+        words = self.words(text) if words is None else words
         if not words:
             return 0
-        if counts is None:
-            counts = self.word_counts(words)
-        before = np.cumsum(counts) - counts
-        over = np.flatnonzero(before + counts > budget)
-        at = 0
-        # Inside a word a prefix can have more tokens than the whole word: the first prefix past the budget decides.
-        for k, w in enumerate(words):
-            if (len(over) == 0 or k < over[0]) and before[k] + len(w.encode("utf-8", "surrogatepass")) <= budget:
-                at += len(w)
+        before = edges_of(self.word_counts(words) if counts is None else counts)
+        # Inside a word a prefix can have more tokens than the word: look from the first word on that could pass the budget.
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        could = np.flatnonzero(before[:-1] + 4 * sizes > budget)
+        starts = edges_of(sizes)
+        for k in could.tolist():
+            if before[k] + self.most(words[k]) <= budget:
                 continue
-            for c in self.table(w):
-                if before[k] + c > budget:
-                    return max(0, at - 1)
-                at += 1
-        return at - 1
+            table = self.table(words[k])
+            return max(0, int(starts[k]) + next(i for i, c in enumerate(table) if before[k] + c > budget) - 1)
+        return len(text)
+
+    def most(self, word: str) -> int:
+        """The largest count in a word's table."""
+        return max(self.table(word))
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -243,19 +251,17 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", budget: int |
         own = counter(path)
         for batch in batches:
             rest = batch.drop_columns([text_col])
-            for at in range(0, batch.num_rows, 256):
-                texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).slice(at, 256).to_pylist()]
-                n_tokens, fits = [], []
+            at = 0
+            for texts in in_slices([t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]):
                 each = [own.words(t) for t in texts]
-                own.learn([*{w for words in each for w in words}.difference(own.seen)])
-                for t, words in zip(texts, each, strict=True):
-                    counts = own.word_counts(words)
-                    n_tokens.append(int(counts.sum()))
-                    if budget is not None:
-                        fits.append(len(t) if sum(map(len, words)) and n_tokens[-1] <= budget and len(t.encode()) < budget else own.fits(t, budget, counts))
-                columns = [*rest.slice(at, 256).columns, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64())]
+                counts = own.each_count(each)
+                n_tokens = [int(c.sum()) for c in counts]
+                # A text of so few characters can't pass the budget, whatever its bytes.
+                fits = [] if budget is None else [len(t) if len(t) * 4 < budget else own.fits(t, budget, w, c) for t, w, c in zip(texts, each, counts, strict=True)]
+                columns = [*rest.slice(at, len(texts)).columns, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64())]
                 columns += [pa.array(fits, pa.int64())] * (budget is not None)
                 columns += [pa.array([own.prefixes(t).tolist() for t in texts], pa.list_(pa.int64()))] * prefixes
                 yield pa.RecordBatch.from_arrays(columns, [*rest.schema.names, *(f.name for f in added)])
+                at += len(texts)
 
     return df.mapInArrow(kernel, T.StructType([*kept, *added]))
