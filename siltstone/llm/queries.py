@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, near_join, packing, sharding, token_counts
+from . import bpe, exact_dedup, fingerprints, licenses, near_join, packing, quality, sharding, token_counts
 from .common import table, whole_text
 
 #: Tokens of the context that op2's over_limit is about.
@@ -34,10 +34,33 @@ def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_classes(table(spark, sf_dir, "documents"))
 
 
+def held_out(parts: int):
+    """Rows that aren't learned from: the id's checksum is divisible by parts."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == 0, F.lit(False))
+
+
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> quality.Model:
+    return quality.fit(docs, table(spark, sf_dir, "labels").filter(~held_out(5)))
+
+
+#: Scores from which a document is taken to be of quality 1.
+GOOD = 0.3
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.score(docs, quality_model(spark, sf_dir, docs))
+    return out.select("doc_id", held_out(5).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -48,7 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_near_join": op4_near_join, "op6_fingerprints": op6_fingerprints, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_near_join": op4_near_join, "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op7_license_scan": op7_license_scan, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql():
