@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, fingerprints, licenses, near_join, packing, quality, sharding, token_counts
+from . import bpe, exact_dedup, fingerprints, kneser_ney, licenses, near_join, packing, quality, sharding, token_counts
 from .common import table, whole_text
 
 #: Tokens of the context that op2's over_limit is about.
@@ -61,6 +61,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.filter(~held_out(10)))
+    out = kneser_ney.score(docs, model)
+    return out.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", F.lit(model.train).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_rows(table(spark, sf_dir, "documents"), shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -71,7 +78,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_byte_bpe": op1_byte_bpe, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_near_join": op4_near_join, "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op7_license_scan": op7_license_scan, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_byte_bpe": op1_byte_bpe, "op2_token_counts": op2_token_counts, "op3_packing": op3_packing, "op4_near_join": op4_near_join, "op5_quality": op5_quality, "op6_fingerprints": op6_fingerprints, "op7_license_scan": op7_license_scan, "op8_lm_scoring": op8_lm_scoring, "op9_sharding": op9_sharding, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql():
