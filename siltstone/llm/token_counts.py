@@ -260,7 +260,8 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", budget: int |
                 fits = [] if budget is None else [len(t) if len(t) * 4 < budget else own.fits(t, budget, w, c) for t, w, c in zip(texts, each, counts, strict=True)]
                 columns = [*rest.slice(at, len(texts)).columns, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64())]
                 columns += [pa.array(fits, pa.int64())] * (budget is not None)
-                columns += [pa.array([own.prefixes(t).tolist() for t in texts], pa.list_(pa.int64()))] * prefixes
+                if prefixes:
+                    columns.append(pa.array([own.prefixes(t).tolist() for t in texts], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(columns, [*rest.schema.names, *(f.name for f in added)])
                 at += len(texts)
 
