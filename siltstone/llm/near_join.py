@@ -35,6 +35,8 @@ from .kernels import edges_of, mix, shingle_hashes
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
 SMALL, BLOCK = 8, 512
+#: Places of the bitmap of ids whose sets are wanted.
+FILTER = 1 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, stray: float = 0.2, most_rows: int = 12) -> tuple[int, int]:
@@ -105,18 +107,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: int, rows: in
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, hashes) of the nodes (node, doc_id, n_docs): the shingle sets, packed."""
+    """(node, hashes) of the nodes (node, doc_id): the shingle sets, packed.
+
+    A bitmap of the wanted ids, of at most FILTER places whatever the input, keeps most texts from being read
+    on; the join on the set's own key then decides.
+    """
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _slices(whole):
                 hashes, edges = shingle_sets(_raw(batch, "text"))
                 packed = [hashes[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, edges), pa.binary()), batch.column(1), pa.array(packed, pa.binary())], ["own", "wanted", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(hashes, edges), pa.binary()), pa.array(packed, pa.binary())], ["node", "hashes"])
 
-    wanted = nodes.select(F.col("doc_id").alias("of"), "node")
-    some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted, F.col("id") == F.col("of")).select("text", "node")
-    # An id that several texts share brings texts of other sets along: they drop out here.
-    return some.mapInArrow(kernel, "own binary, wanted binary, hashes binary").filter("own = wanted").groupBy(F.col("own").alias("node")).agg(F.first("hashes").alias("hashes"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)).cast("int")
+    places = nodes.select(place("doc_id").alias("place")).distinct()
+    some = docs.select(F.col(text_col).alias("text"), place(id_col).alias("place")).join(F.broadcast(places), "place", "left_semi")
+    made = some.select("text").mapInArrow(kernel, "node binary, hashes binary")
+    return made.join(nodes.select("node"), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
