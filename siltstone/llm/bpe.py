@@ -7,7 +7,8 @@ pairs at once), merges it, and rows are compacted; rows that have no pair left l
 than LONG bytes takes a heap of the same pairs instead, which is exact too and not quadratic.
 
 Defined results: a null text is the empty text and has no tokens; decoding gives back the encoded
-bytes; an empty table gives an empty result.
+bytes; an empty table gives an empty result; other columns pass through, and the operator's own take the place of
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import making_room, ship
 from .kernels import HashMap, edges_of, gather, in_slices
 
 #: Bytes of a piece up to which it goes into a matrix.
@@ -211,14 +212,6 @@ def _texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def _map(df: DataFrame, kernel, added: list[T.StructField]) -> DataFrame:
-    ship(df.sparkSession)
-    taken = {c.lower() for c in df.columns}
-    if clash := [f.name for f in added if f.name.lower() in taken]:
-        raise ValueError(f"columns are there already: {clash}; rename them first")
-    return df.mapInArrow(kernel, T.StructType([*df.schema.fields, *added]))
-
-
 def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", decoded: bool = False) -> DataFrame:
     """df with `ids` (the token ids as little-endian unsigned 32-bit integers, packed) in place of the text.
 
@@ -242,9 +235,8 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", decod
             assert at == n
 
     ship(df.sparkSession)
+    df = making_room(df, ["ids", *["decoded"] * decoded], keep=(text_col,))
     kept = T.StructType([f for f in df.schema.fields if f.name != text_col])
-    if {c.lower() for c in kept.names} & {"ids", "decoded"}:
-        raise ValueError("rename the columns ids and decoded first")
     return df.mapInArrow(kernel, T.StructType([*kept.fields, T.StructField("ids", T.BinaryType()), *[T.StructField("decoded", T.BinaryType())] * decoded]))
 
 
@@ -258,4 +250,6 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Data
             out = pa.array([own.decode(np.frombuffer(x or b"", "<u4")) for x in ids], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
 
-    return _map(df, kernel, [T.StructField("decoded", T.BinaryType())])
+    ship(df.sparkSession)
+    df = making_room(df, ["decoded"], keep=(ids_col,))
+    return df.mapInArrow(kernel, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))

@@ -33,6 +33,13 @@ def fresh_name(df: DataFrame, wish: str) -> str:
     return name
 
 
+def making_room(df: DataFrame, names: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """df without the columns that an operator is about to add, whatever the case of their letters: the operator's take their place."""
+    wanted, kept = {n.lower() for n in names}, {k.lower() for k in keep}
+    gone = {c for c in df.columns if c.lower() in wanted and c.lower() not in kept}
+    return df.select([F.col(f"`{c}`") for c in df.columns if c not in gone]) if gone else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the session has one.
 

@@ -81,9 +81,10 @@ def exact_groups(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
 def exact_distinct(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "smallest") -> DataFrame:
     """docs without the rows whose text another row keeps; same columns."""
     runs, n = content_runs(docs, text_col, id_col, keep)
+    own = [F.col(f"`{c}`") for c in docs.columns]
     heads = written(runs.filter(F.col(n["rank"]) == 1).drop(n["rank"], n["rows"], n["keep"]), "exact-heads")
     order = F.col(id_col).desc_nulls_last() if keep == "largest" else F.col(id_col).asc_nulls_last()
     rank = fresh_name(heads, "rank")
     # The heads of hot texts' runs: a few rows for each, however many rows the text had.
     again = heads.filter(n["split"]).withColumn(rank, F.row_number().over(Window.partitionBy(n["hash"], whole_text(text_col)).orderBy(order)))
-    return heads.filter(~F.col(n["split"])).select(docs.columns).unionByName(again.filter(F.col(rank) == 1).select(docs.columns))
+    return heads.filter(~F.col(n["split"])).select(own).unionByName(again.filter(F.col(rank) == 1).select(own))

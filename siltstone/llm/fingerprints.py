@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, ship, shuffle_partitions, whole_text
+from .common import making_room, ship, shuffle_partitions, whole_text
 from .kernels import WordHasher, edges_of, shingle_hashes
 
 SHINGLE, FRACTION, FLOOR = 5, 1 / 8, 32
@@ -92,8 +92,7 @@ def merge(a: np.ndarray, b: np.ndarray, fraction: float = FRACTION, floor: int =
 def fingerprint(df: DataFrame, text_col: str = "text", name: str = "fingerprint") -> DataFrame:
     """df with each whole text's fingerprint in the column name."""
     ship(df.sparkSession)
-    if name.lower() in {c.lower() for c in df.columns}:
-        raise ValueError(f"column {name} is there already")
+    df = making_room(df, [name], keep=(text_col,))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, ship, shuffle_partitions, whole_text, written
+from .common import making_room, shared_dir, ship, shuffle_partitions, whole_text, written
 from .fingerprints import SPACES, hasher
 from .kernels import edges_of, in_slices, mix
 
@@ -313,10 +313,9 @@ def token_scores(model: Bigrams, hashes: np.ndarray, edges: np.ndarray) -> tuple
 def score(docs: DataFrame, model: Bigrams, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, n_known, base_score, score and perplexity of each whole text."""
     ship(docs.sparkSession)
+    docs = making_room(docs, ["n_tokens", "n_known", "base_score", "score", "perplexity"], keep=(text_col,))
     kept = [f for f in docs.schema.fields if f.name != text_col]
     added = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()), ("perplexity", T.DoubleType())]
-    if clash := {f.name.lower() for f in kept} & {n for n, _ in added}:
-        raise ValueError(f"columns are there already: {sorted(clash)}; rename them first")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_name, whole_text
+from .common import fresh_name, making_room, whole_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANCHORS, SHARE = 6, 0.6
@@ -98,9 +98,8 @@ def scan(docs: DataFrame, text_col: str = "text", notices: list[tuple[str, str,
             postings.setdefault(t.words[i], []).append((k, i, idf[t.words[i]] / whole))
     phrases = [(p.split(), label) for p, label in base.items()]
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "best"]
-    kept = [c for c in docs.columns if c != text_col]
-    if clash := {c.lower() for c in kept} & set(added):
-        raise ValueError(f"columns are there already: {sorted(clash)}; rename them first")
+    docs = making_room(docs, added, keep=(text_col,))
+    kept = [f"`{c}`" for c in docs.columns if c != text_col]
     n = {k: fresh_name(docs, k) for k in ("words", "places", "starts", "lined", "sums", "good")}
     words = F.col(n["words"])
     word = lambda i: F.get(words, i)

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, whole_text
+from .common import fresh_name, making_room, whole_text
 
 #: Labelled rows that a model is fitted on, at most.
 SAMPLE = 20_000
@@ -158,8 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the model's score of each whole text, 0 to 1."""
-    if name.lower() in {c.lower() for c in docs.columns}:
-        raise ValueError(f"column {name} is there already")
+    docs = making_room(docs, [name], keep=(text_col,))
     found = statistics(whole_text(text_col))
     at = {k: fresh_name(docs, f"stat_{k}") for k in found}
     return docs.withColumns({at[k]: c for k, c in found.items()}).withColumn(name, model.score({k: F.col(c) for k, c in at.items()})).drop(*at.values())

@@ -10,7 +10,8 @@ No piece holds a space mark after another character, so the table of a text is i
 added to the count before it; words recur, and a worker remembers theirs.
 
 Defined results: a null text is the empty text and has 0 tokens; special strings in a text are ordinary
-text; an empty table gives an empty result.
+text; an empty table gives an empty result; other columns pass through, and the operator's own take the place of
+columns of the same name.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import making_room, ship
 from .kernels import HashMap, edges_of, in_slices
 
 #: Words whose tables a worker remembers; then it starts anew.
@@ -241,11 +242,10 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", budget: int |
     `prefix_tokens`, the counts at all prefixes, from the empty one on.
     """
     ship(df.sparkSession)
+    df = making_room(df, ["n_bytes", "n_tokens", *["fits_chars"] * (budget is not None), *["prefix_tokens"] * prefixes], keep=(text_col,))
     kept = [f for f in df.schema.fields if f.name != text_col]
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
     added += [T.StructField("fits_chars", T.LongType())] * (budget is not None) + [T.StructField("prefix_tokens", T.ArrayType(T.LongType()))] * prefixes
-    if clash := {f.name.lower() for f in kept} & {f.name for f in added}:
-        raise ValueError(f"columns are there already: {sorted(clash)}; rename them first")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
