@@ -33,11 +33,10 @@ FUNCTION_WORDS = (
 ).split()
 
 
-def statistics(text: Column) -> dict[str, Column]:
+def _statistics(text: Column, words: Column, lines: Column) -> dict[str, Column]:
     """Named statistics of a text; all are shares or means, so texts of any length compare."""
     share = lambda part, whole: F.coalesce(part / F.nullif(whole.cast("double"), F.lit(0.0)), F.lit(0.0))
     chars = F.length(text)
-    words, lines = F.split(text, r"\s+"), F.split(text, r"\n")
     count = lambda pattern: F.regexp_count(text, F.lit(pattern))
     return {
         "log_chars": F.log1p(chars.cast("double")),
@@ -53,6 +52,24 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+#: The statistics' names.
+STATISTICS = ["log_chars", "upper", "digits", "symbols", "stops", "word_chars", "distinct_words", "distinct_lines", "line_words", "function_words"]
+
+
+def with_statistics(docs: DataFrame, text_col: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs with each text's statistics, and the names of their columns.
+
+    A model names each statistic in many rules. They come out of a generator of one row, which the optimizer
+    neither folds into those rules nor pushes filters through: each is worked out once a text.
+    """
+    words, lines = fresh_name(docs, "words"), fresh_name(docs, "lines")
+    at = {k: fresh_name(docs, f"stat_{k}") for k in STATISTICS}
+    text = whole_text(text_col)
+    cut = docs.withColumns({words: F.split(text, r"\s+"), lines: F.split(text, r"\n")})
+    found = _statistics(text, F.col(words), F.col(lines))
+    return cut.select(*[F.col(f"`{c}`") for c in docs.columns], F.inline(F.array(F.struct(*[found[k].alias(at[k]) for k in STATISTICS])))), at
+
+
 @dataclass
 class Rule:
     """All of its (statistic, threshold, above) hold."""
@@ -139,13 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
     """A model from the labelled rows of docs; hold rows out by leaving them out of labels."""
     some = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_of"), F.col(label_col).cast("int").alias("_label"))
     some = some.orderBy(F.xxhash64("_of"), "_of", "_label").limit(sample)  # the broadcast holds this many rows at most
-    found = statistics(F.col("_text"))
     rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).join(F.broadcast(some), F.col("_id") == F.col("_of"))
-    got = rows.select("_id", "_label", *[c.alias(k) for k, c in found.items()]).orderBy("_id", "_label", *found).limit(sample).collect()
+    measured, at = with_statistics(rows, "_text")
+    got = measured.select("_id", "_label", *[F.col(at[k]).alias(k) for k in STATISTICS]).orderBy("_id", "_label", *STATISTICS).limit(sample).collect()
     y = np.array([r["_label"] for r in got], float)
     if len(y) == 0 or y.min() == y.max():
         return Model(float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))))
-    names = list(found)
+    names = STATISTICS
     x = np.array([[r[k] for k in names] for r in got], float)
     rules = grow_rules(x, y, names)
     if not rules:
@@ -159,6 +176,5 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
     """docs with the model's score of each whole text, 0 to 1."""
     docs = making_room(docs, [name], keep=(text_col,))
-    found = statistics(whole_text(text_col))
-    at = {k: fresh_name(docs, f"stat_{k}") for k in found}
-    return docs.withColumns({at[k]: c for k, c in found.items()}).withColumn(name, model.score({k: F.col(c) for k, c in at.items()})).drop(*at.values())
+    measured, at = with_statistics(docs, text_col)
+    return measured.withColumn(name, model.score({k: F.col(c) for k, c in at.items()})).drop(*at.values())
