@@ -1,6 +1,6 @@
 """Language-model scoring with an interpolated modified Kneser-Ney bigram model.
 
-Counting. Words are hashed to 64 bits; each task counts its bigrams in numpy and sends one packed block to
+Counting. Words are hashed to 48 bits; each task counts its bigrams in numpy and sends one packed block to
 each shard of the hash space; a shard merges its blocks. Every bigram (u, v) belongs to one shard, chosen by
 u and a part of v, so that no frequent u fills a shard alone. A second exchange of the same kind brings
 each word's own numbers together: its count, in how many contexts it occurs, and, as a context, its
@@ -41,7 +41,10 @@ from .common import making_room, shared_dir, ship, shuffle_partitions, whole_tex
 from .fingerprints import SPACES, hasher
 from .kernels import edges_of, in_slices, mix
 
-END, START = np.uint64(0x9F6A5B1E3C7D2A01), np.uint64(0x51C0FFEE12345677)
+#: Words are told apart by so many bits of their hashes; six bytes each in blocks.
+BITS = 48
+_MASK = np.uint64(2**BITS - 1)
+END, START = np.uint64(0x5B1E3C7D2A01), np.uint64(0xFFEE12345677)
 #: Parts that the followers of one word are split into.
 SPLIT = 16
 #: Tokens that a task counts before it sends blocks.
@@ -53,6 +56,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edges = edges_of(np.fromiter(map(len, texts), np.int64, len(texts)))
     words, parts = hasher(SPACES)(np.frombuffer(b"".join(texts), np.uint8), edges, lower=True)
     out = np.full(len(words) + len(texts), END)
+    words = words & _MASK
     out_edges = parts + np.arange(len(texts) + 1)
     inside = np.ones(len(out), bool)
     inside[out_edges[1:] - 1] = False
@@ -76,12 +80,13 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
 
 
 def pair_shard(u: np.ndarray, v: np.ndarray, shards: int) -> np.ndarray:
-    return shard_of(mix(u + (v >> np.uint64(60)) * np.uint64(0xA24BAED4963EE407)), shards)
+    return shard_of(mix(u + (v >> np.uint64(BITS - 4)) * np.uint64(0xA24BAED4963EE407)), shards)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as bytes; word hashes (uint64) take six bytes each."""
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), np.dtype(a.dtype).num)]], np.int64)
-    return head.tobytes() + b"".join(a.tobytes() for a in arrays)
+    return head.tobytes() + b"".join(a.view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes() if a.dtype == np.uint64 else a.tobytes() for a in map(np.ascontiguousarray, arrays))
 
 
 _TYPES = {np.dtype(t).num: np.dtype(t) for t in (np.uint64, np.uint32, np.uint8, np.int64, np.float64)}
@@ -92,9 +97,15 @@ def unpack(block: bytes) -> list[np.ndarray]:
     head = np.frombuffer(block, np.int64, 2 * n, 8)
     at, out = 8 + 16 * n, []
     for k in range(n):
-        kind = _TYPES[int(head[2 * k + 1])]
-        out.append(np.frombuffer(block, kind, int(head[2 * k]), at))
-        at += int(head[2 * k]) * kind.itemsize
+        kind, size = _TYPES[int(head[2 * k + 1])], int(head[2 * k])
+        if kind == np.uint64:
+            wide = np.zeros((size, 8), np.uint8)
+            wide[:, : BITS // 8] = np.frombuffer(block, np.uint8, size * (BITS // 8), at).reshape(size, BITS // 8)
+            out.append(wide.view(np.uint64).ravel())
+            at += size * (BITS // 8)
+        else:
+            out.append(np.frombuffer(block, kind, size, at))
+            at += size * kind.itemsize
     return out
 
 
