@@ -1,7 +1,8 @@
 """Command line over stored tables: python -m siltstone.cli STORE COMMAND [arguments] [--flags].
 
 STORE is a folder with sessions.parquet, session_chunks.parquet and note_chunks.parquet. Commands: search,
-answer, list, get, replay, stats, pickaxe (exit code 1 where a text holds a listed term).
+answer, list, get, replay, stats, ingest (SOURCES.json, --batch, --source, --dry-run, --max-files, --max-file-bytes),
+distil, pickaxe (exit code 1 where a text holds a listed term).
 """
 
 from __future__ import annotations
@@ -43,6 +44,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         found = [json.loads(r[0]) for r in hits.select(F.to_json(F.struct("*"))).collect()]
         print(json.dumps(found, indent=2))
         return int(bool(found))
+    if command in {"ingest", "distil"}:
+        from .plans import jobs
+        from .sources.files import sources
+
+        if command == "distil":
+            print(json.dumps({"summaries": jobs.distil(spark, folder)}))
+            return 0
+        caps = {name: int(flags[flag]) for name, flag in (("most_files", "max-files"), ("most_bytes", "max-file-bytes")) if flag in flags}
+        chosen = sources(jobs.sources_from(rest[0]), label=flags.get("source"))
+        records = jobs.ingest_sources(spark, chosen, folder, str(flags.get("batch", "batch")), str(flags.get("product", "siltstone")), dry_run=bool(flags.get("dry-run")), **caps)
+        print(json.dumps(records, indent=2))
+        return int(any(r["status"] == "failed" for r in records))
     engine = open_store(spark, folder)
     number = lambda key: int(flags[key]) if key in flags else None
     mode = "current" if flags.get("current") else "balanced" if flags.get("balanced") else "auto"
