@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fulltext, vector
+from ..functions import english, fulltext, vector
 
 # The search functions' caps and defaults.
 MOST, RRF_K, RRF_K_PLAIN = 30, 60, 50
@@ -33,6 +33,13 @@ def lexical_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id"
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)).cast("long"))
 
 
+def english_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id", content: str = "content") -> DataFrame:
+    """(id, score, rank) of the k best rows that match the query's English stems, by cover density."""
+    hits = chunks.select(id_col, english.lexemes(F.col(content)).alias("_stems")).filter(english.matches(F.col("_stems"), query))
+    top = hits.select(id_col, english.cover_density(F.col("_stems"), query).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)).cast("long"))
+
+
 def reciprocal(rank: str, k: float, weight: float) -> Column:
     return F.coalesce(F.lit(float(weight)) / (F.lit(float(k)) + F.col(rank)), F.lit(0.0))
 

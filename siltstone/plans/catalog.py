@@ -79,6 +79,12 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return rank.lexical_topk(note_chunks(spark, d), WORDS, 20).withColumn("score", F.round("score", 9))
 
 
+@registered()
+def lexical_english_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Stems and cover density: no SQL; tests hold it against a plain sweep."""
+    return rank.english_topk(note_chunks(spark, d), "tion ing", 20)
+
+
 def _hybrid_sql(k: float, wf: float, ws: float, keep: str = "", n: int = 10, extra: str = "", score: str = "", columns: str = "") -> str:
     sm = _NOTES_SM if not keep else f"sm1 AS (SELECT sm0.* FROM sm0 JOIN documents ON doc_id = chunk_id {keep})"
     return f"""WITH {_SM}, {sm}, {_ft('documents', 'doc_id', 'text', keep=keep)}, {_lists(2 * n)},

@@ -25,12 +25,13 @@ def resolve_mode(mode: str, query: str) -> str:
 
 def hybrid_search(
     chunks: DataFrame, query: str, embedding: Sequence[float], match_count: int = 10, full_text_weight: float = 1.0, semantic_weight: float = 1.0,
-    recency_weight: float = 0.0, rrf_k: float = rank.RRF_K, owner: str | None = None, source_type: str | None = None, date: Column | None = None, unit: bool = False,
+    recency_weight: float = 0.0, rrf_k: float = rank.RRF_K, owner: str | None = None, source_type: str | None = None, date: Column | None = None, unit: bool = False, config: str = "simple",
 ) -> DataFrame:
     """The n best chunk ids with ft_rank, sm_rank, rc_rank, score and place.
 
     Filters come before the lists are cut; a chunk in neither list is never returned, whatever its date; one
-    whose lists have weight 0 still is. Ids and scores travel; rows are fetched last (fetch).
+    whose lists have weight 0 still is. Ids and scores travel; rows are fetched last (fetch). config: simple
+    tokens, or english stems ranked by cover density.
     """
     n = min(match_count, rank.MOST)
     base = chunks
@@ -38,7 +39,8 @@ def hybrid_search(
         base = base.filter(F.col("owner") == owner)
     if source_type is not None:
         base = base.filter(F.col("source_type") == source_type)
-    fused = rank.fuse(rank.lexical_topk(base, query, 2 * n), rank.semantic_topk(base, embedding, 2 * n, unit=unit), k=rrf_k, full_text_weight=full_text_weight, semantic_weight=semantic_weight)
+    lexical = {"simple": rank.lexical_topk, "english": rank.english_topk}[config]
+    fused = rank.fuse(lexical(base, query, 2 * n), rank.semantic_topk(base, embedding, 2 * n, unit=unit), k=rrf_k, full_text_weight=full_text_weight, semantic_weight=semantic_weight)
     if date is not None:
         fused = rank.add_recency(fused, chunks, date, recency_weight, k=rrf_k)
     return rank.best(fused, n)

@@ -70,7 +70,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables aren't here")
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, name):
     import duckdb
 
