@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,3 +136,59 @@ def greedy_batches(lengths: Column, most_items: int = 128, most_tokens: int = 10
         )
 
     return F.aggregate(lengths, start, step)["out"]
+
+
+def running_batches(rows: DataFrame, key: str, order: str, length: str, block: str, most_items: int = 128, most_tokens: int = 100_000) -> DataFrame:
+    """(key, order, batch): the batches of one greedy fold over each key's rows by order and length, made block by block.
+
+    `block` must not fall as `order` grows. A batch that a block takes over has at most `most_items` - 1 rows left,
+    so a block states its end for each row at which its own first batch may start; those ends, one row for each
+    block, are carried from block to block, and each block then numbers its rows.
+    """
+    # Nested, so that workers get the kernels by value.
+    def starts(n: np.ndarray, at: int) -> list[int]:
+        """Where batches start when one starts at `at`, and the end."""
+        sums, out = np.concatenate((np.zeros(1, np.int64), np.cumsum(n))), [at]
+        while out[-1] < len(n):
+            s = out[-1]
+            out.append(min(s + most_items, max(s + 1, int(np.searchsorted(sums, sums[s] + most_tokens, "right")) - 1), len(n)))
+        return out
+
+    def lengths(block_rows: pd.DataFrame) -> np.ndarray:
+        return block_rows.sort_values([order, length])[length].to_numpy(np.int64)
+
+    def ends(block_rows: pd.DataFrame) -> pd.DataFrame:
+        n = lengths(block_rows)
+        made = [starts(n, e) for e in range(min(most_items, len(n)))]
+        last = [len(n) - m[-2] for m in made]
+        return pd.DataFrame({
+            key: block_rows[key].iloc[:1].to_numpy(), block: block_rows[block].iloc[:1].to_numpy(), "size": [len(n)], "head": [n[:most_items].tolist()],
+            "made": [[len(m) - 1 for m in made]], "items": [last], "tokens": [[int(n[len(n) - x :].sum()) for x in last]],
+        })
+
+    def carried(blocks: pd.DataFrame) -> pd.DataFrame:
+        out, batch, items, tokens = [], -1, 0, 0
+        for b in blocks.sort_values(block).itertuples(index=False):
+            b, first = b._asdict(), 0
+            before = batch
+            while items and first < b["size"] and items < most_items and tokens + b["head"][first] <= most_tokens:
+                items, tokens, first = items + 1, tokens + int(b["head"][first]), first + 1
+            if first < b["size"]:
+                batch, items, tokens = batch + int(b["made"][first]), int(b["items"][first]), int(b["tokens"][first])
+            out.append((first, before))
+        at = blocks.sort_values(block)
+        return pd.DataFrame({key: at[key], block: at[block], "first": [x for x, _ in out], "before": [x for _, x in out]})
+
+    def numbered(block_rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        block_rows = block_rows.sort_values([order, length])
+        first, before = int(state["first"].iloc[0]), int(state["before"].iloc[0])
+        made = starts(block_rows[length].to_numpy(np.int64), first)
+        batch = before + np.repeat(np.arange(len(made)), np.diff([0, *made]))
+        return pd.DataFrame({key: block_rows[key], order: block_rows[order], "batch": batch.astype(np.int32)})
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ids = f"`{key}` {kinds[key]}, `{block}` {kinds[block]}"
+    by_block = rows.select(key, order, length, block).groupBy(key, block)
+    told = by_block.applyInPandas(ends, f"{ids}, size long, head array<long>, made array<long>, items array<long>, tokens array<long>")
+    state = told.groupBy(key).applyInPandas(carried, f"{ids}, first long, before long")
+    return by_block.cogroup(state.groupBy(key, block)).applyInPandas(numbered, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, batch int")

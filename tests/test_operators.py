@@ -1,6 +1,8 @@
 """Windows, ranking, stores, sampling, sources and streams on small inputs with known results."""
 
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -159,3 +161,20 @@ def test_interleave_and_split(spark):
     assert [r.id for r in rank.interleave(lists).orderBy("at").collect()] == ["a1", "b1", "a2", "b2", "a3", "b3"]
     assert [r.id for r in search.search_all(*lists, limit=4).orderBy("at").collect()] == ["a1", "a2", "b1", "b2"]
     assert search.overfetch(10, True) == 20 and search.overfetch(20, True) == 30 and search.overfetch(10, False) == 10
+
+
+def test_embed_batches_run_on_over_blocks_of_ids(spark, tmp_path):
+    from siltstone.plans import catalog
+
+    rnd = random.Random(3)
+    ids = [*range(99_900, 100_150), 200_001, 200_002, *range(300_000, 300_040), *range(400_000, 400_003), *range(500_000, 500_100)]
+    rows = [(k, f"s{k % 2}", None if k % 41 == 0 else "x" * rnd.choice([0, 10, 3_000, 9_000, 30_000, 80_000])) for k in ids]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, open_ = [], {}
+    for k, source, text in rows:
+        n = math.ceil(len(text or "") / 3.5)
+        batch, items, tokens = open_.get(source, (0, 0, 0))
+        full = items > 0 and (items >= 16 or tokens + n > 20_000)
+        open_[source] = (batch + 1, 1, n) if full else (batch, items + 1, tokens + n)
+        want.append((source, k, open_[source][0]))
+    assert sorted(map(tuple, catalog.embed_batches(spark, str(tmp_path)).collect())) == sorted(want)
