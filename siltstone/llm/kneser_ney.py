@@ -1,19 +1,22 @@
-"""Language-model scoring with an interpolated modified Kneser-Ney bigram model.
+"""Language-model scoring with an interpolated modified Kneser-Ney model of any order from 2.
 
-Counting. Words are hashed to 48 bits; each task counts its bigrams in numpy and sends one packed block to
-each shard of the hash space; a shard merges its blocks. Every bigram (u, v) belongs to one shard, chosen by
-u and a part of v, so that no frequent u fills a shard alone. A second exchange of the same kind brings
-each word's own numbers together: its count, in how many contexts it occurs, and, as a context, its
-followers by count.
+Counting. Words are hashed to 48 bits; each task counts its n-grams of the highest order in numpy and sends one
+packed block to each shard of the hash space; a shard merges its blocks. An n-gram's shard is chosen by its words
+but the last and a part of the last, so that no frequent context fills a shard alone. One more exchange of the same kind for each lower order brings each
+shorter n-gram's own numbers together: in how many contexts it occurs and, as a context, its followers by count;
+the last one does so for words.
 
-Model. Every shard is two sorted hash arrays (words; bigrams) in files of the shared folder. Workers map them
+Model. Every shard is sorted hash arrays (words; n-grams of each order) in files of the shared folder. Workers map them
 into memory and look up whole batches of distinct hashes at once; pages are shared and evicted by the
 system, so a worker's own memory stays small however large the model is. The shared folder must be mounted
 as files on all workers (its address starts with file: or is a path); the number of shards follows the
 shuffle partitions.
 
+Counts. The highest order has plain counts; lower ones count the distinct words before, but n-grams that begin with
+the start context, which nothing precedes, keep their plain counts.
+
 Discounts are those of Chen and Goodman: D1, D2, D3+ from the numbers of n-grams of count 1 to 4, for
-bigrams by their counts and for words by the numbers of their contexts. Words interpolate with an even share for
+each order by its own counts and for words by the numbers of their contexts. Words interpolate with an even share for
 each known word and one for all unknown ones.
 
 Tokens: with A-Z lower-cased, words are runs of other than space and \\t to \\r; each text ends with one end token
@@ -45,6 +48,8 @@ from .kernels import edges_of, in_slices, mix
 BITS = 48
 _MASK = np.uint64(2**BITS - 1)
 END, START = np.uint64(0x5B1E3C7D2A01), np.uint64(0xFFEE12345677)
+#: Stands before the start, where a context is shorter than the order asks for.
+PAD = np.uint64(0xFFEE12345678)
 #: Parts that the followers of one word are split into.
 SPLIT = 16
 #: Tokens that a task counts before it sends blocks.
@@ -64,10 +69,16 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, out_edges
 
 
-def contexts(hashes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """The token before each token; the start where a text begins."""
-    out = np.concatenate((np.full(1, START), hashes[:-1])) if len(hashes) else hashes
-    out[edges[:-1]] = START
+def grams(words: np.ndarray, edges: np.ndarray, order: int, start: int = START, pad: int = PAD) -> list[np.ndarray]:
+    """The order - 1 tokens before each token, the farthest first, and the token; the start where a text begins."""
+    at = np.arange(len(words)) - np.repeat(edges[:-1], np.diff(edges))
+    out = [words]
+    for back in range(1, order):
+        before = np.full(len(words), pad, words.dtype)
+        before[back:] = words[: max(0, len(words) - back)]
+        before[at < back] = pad
+        before[at == back - 1] = start
+        out.insert(0, before)
     return out
 
 
@@ -83,13 +94,24 @@ def pair_shard(u: np.ndarray, v: np.ndarray, shards: int) -> np.ndarray:
     return shard_of(mix(u + (v >> np.uint64(BITS - 4)) * np.uint64(0xA24BAED4963EE407)), shards)
 
 
+def gram_key(words: list[np.ndarray]) -> np.ndarray:
+    key = pair_key(words[-2], words[-1])
+    for w in words[-3::-1]:
+        key = pair_key(w, key)
+    return key
+
+
+def gram_shard(words: list[np.ndarray], shards: int) -> np.ndarray:
+    return pair_shard(words[0] if len(words) == 2 else gram_key(words[:-1]), words[-1], shards)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as bytes; word hashes (uint64) take six bytes each."""
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), np.dtype(a.dtype).num)]], np.int64)
     return head.tobytes() + b"".join(a.view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes() if a.dtype == np.uint64 else a.tobytes() for a in map(np.ascontiguousarray, arrays))
 
 
-_TYPES = {np.dtype(t).num: np.dtype(t) for t in (np.uint64, np.uint32, np.uint8, np.int64, np.float64)}
+_TYPES = {np.dtype(t).num: np.dtype(t) for t in (np.uint64, np.uint32, np.uint16, np.uint8, np.int64, np.float64)}
 
 
 def unpack(block: bytes) -> list[np.ndarray]:
@@ -111,7 +133,7 @@ def unpack(block: bytes) -> list[np.ndarray]:
 
 def _summed(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct keys ascending, and each value's sums."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys = keys[order]
     first = np.flatnonzero(np.concatenate((np.ones(1, bool), keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[first], [np.add.reduceat(v[order].astype(np.int64), first) if len(first) else v.astype(np.int64) for v in values]
@@ -126,17 +148,18 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
 
 
 def _by_shard(shard: np.ndarray, shards: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    shard = shard.astype(np.uint16) if shards <= 2**16 else shard
     order = np.argsort(shard, kind="stable")
     at = np.searchsorted(shard[order], np.arange(shards + 1))
     for k in np.flatnonzero(np.diff(at)).tolist():
         yield k, [a[order[at[k] : at[k + 1]]] for a in arrays]
 
 
-class Bigrams:
-    """A trained model: where its arrays are, and its few global numbers."""
+class NGrams:
+    """A trained model: where its arrays are, and its few global numbers; discounts are those of each order from 2."""
 
-    def __init__(self, folder: str, shards: int, words: int, train: int, pairs: int, discounts: list[float], word_discounts: list[float], share: float):
-        self.folder, self.shards, self.words, self.train, self.pairs = folder, shards, words, train, pairs
+    def __init__(self, folder: str, shards: int, order: int, words: int, train: int, pairs: int, discounts: list[list[float]], word_discounts: list[float], share: float):
+        self.folder, self.shards, self.order, self.words, self.train, self.pairs = folder, shards, order, words, train, pairs
         self.discounts, self.word_discounts, self.share = discounts, word_discounts, share
 
 
@@ -165,8 +188,40 @@ def _batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())], _BLOCKS.names)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> Bigrams:
+def _tight(a: np.ndarray) -> np.ndarray:
+    """Numbers in as few bytes as the largest needs, up to four."""
+    most = int(a.max()) if a.size else 0
+    return np.minimum(a, 2**32 - 1).astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32)
+
+
+def _counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts in a byte each, and those that don't fit."""
+    return np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype(np.int64)
+
+
+def _counted(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    n = small.astype(np.int64)
+    n[n == 255] = large
+    return n
+
+
+def _pack_grams(words: list[np.ndarray], n: np.ndarray) -> bytes:
+    """N-grams ordered by first word, and their counts: the words once, then places in these; runs of one first word as the word and how many follow."""
+    held, places = np.unique(np.concatenate(words), return_inverse=True)
+    first, *others = places.reshape(len(words), -1)
+    starts = np.flatnonzero(np.concatenate((np.ones(1, bool), first[1:] != first[:-1])))
+    return pack(held, _tight(first[starts]), _tight(np.diff(np.concatenate((starts, [len(n)])))), *map(_tight, others), *_counts(n))
+
+
+def _unpack_grams(parts: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    rows = [[p[0][np.repeat(p[1], p[2])], *(p[0][x] for x in p[3:-2])] for p in parts]
+    return [np.concatenate(x) for x in zip(*rows, strict=True)], np.concatenate([_counted(*p[-2:]) for p in parts])
+
+
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> NGrams:
     """Count all of docs and write the model."""
+    if order < 2:
+        raise ValueError("order must be at least 2")
     spark = docs.sparkSession
     ship(spark)
     shards, folder = shuffle_partitions(spark), local_folder(spark)
@@ -175,32 +230,34 @@ def train(docs: DataFrame, text_col: str = "text") -> Bigrams:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def sent() -> Iterator[pa.RecordBatch]:
-            u, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            hashes, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            vocabulary, at = np.unique(v, return_inverse=True)
+            vocabulary, at = np.unique(hashes, return_inverse=True)
             counts = np.bincount(at, minlength=len(vocabulary))
             for k, (h, c) in _by_shard(shard_of(mix(vocabulary), shards), shards, vocabulary, counts):
                 yield _batch([(k, "w", pack(h, c.astype(np.uint32), *[np.zeros(0, np.uint32)] * 5))])
-            # Tokens in the order of their hashes: a pair is one number, and sorting those sorts the pairs.
-            first = np.searchsorted(vocabulary, u)
-            started = (first < len(vocabulary)) & (vocabulary[np.minimum(first, len(vocabulary) - 1)] == u)
-            code = np.where(started, first, len(vocabulary)).astype(np.uint64) * np.uint64(len(vocabulary) + 1) + at.astype(np.uint64)
-            del u, v, at, first, started
-            code, n = np.unique(code, return_counts=True)
-            wide = np.concatenate((vocabulary, np.full(1, START)))
-            u, v = wide[(code // np.uint64(len(vocabulary) + 1)).astype(np.int64)], vocabulary[(code % np.uint64(len(vocabulary) + 1)).astype(np.int64)]
-            del code
-            for k, (a, b, c) in _by_shard(pair_shard(u, v, shards), shards, u, v, n):
-                # Runs of one first word: the word once, and how many follow.
-                starts = np.flatnonzero(np.concatenate((np.ones(1, bool), a[1:] != a[:-1])))
-                small = np.minimum(c, 255).astype(np.uint8)
-                yield _batch([(k, "p", pack(a[starts], np.diff(np.concatenate((starts, [len(a)]))).astype(np.uint32), b, small, c[c >= 255].astype(np.int64)))])
+            # Tokens in the order of their hashes: an n-gram is the place of its beginning among such and of its last
+            # word, which is one number, and sorting those sorts the n-grams.
+            wide, size = np.concatenate((vocabulary, np.array([START, PAD]))), np.uint64(len(vocabulary) + 2)
+            code, *words = grams(at.astype(np.uint64), edges_of(sizes), order, len(vocabulary), len(vocabulary) + 1)
+            del hashes, at
+            last, parts = words.pop(), [np.arange(int(size))]
+            while words:
+                code, again = np.unique(code * size + words.pop(0), return_inverse=True)
+                parts = [*(p[(code // size).astype(np.int64)] for p in parts), (code % size).astype(np.int64)]
+                code = again.astype(np.uint64)
+            code, n = np.unique(code * size + last, return_counts=True)
+            del last
+            grown = [wide[p[(code // size).astype(np.int64)]] for p in parts] + [wide[(code % size).astype(np.int64)]]
+            del code, parts
+            for k, (*w, c) in _by_shard(gram_shard(grown, shards), shards, *grown, n):
+                yield _batch([(k, "g", _pack_grams(w, c))])
 
         size = 0
         for batch in batches:
             for texts in in_slices([t or "" for t in batch.column(0).to_pylist()]):
                 hashes, edges = tokens([t.encode() for t in texts])
-                held.append((contexts(hashes, edges), hashes))
+                held.append((hashes, np.diff(edges)))
                 size += len(hashes)
                 if size >= HELD:
                     yield from sent()
@@ -208,35 +265,68 @@ def train(docs: DataFrame, text_col: str = "text") -> Bigrams:
         if held:
             yield from sent()
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, shard = [], None
-        for batch in batches:
-            for k, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                shard = k
-                if kind == "w":
-                    yield _batch([(k, "w", block)])
-                else:
-                    parts.append(unpack(block))
-        if not parts:
-            return
-        u = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        v = np.concatenate([p[2] for p in parts])
-        n = np.concatenate([p[3] for p in parts]).astype(np.int64)
-        n[n == 255] = np.concatenate([p[4] for p in parts])
-        del parts
-        key = pair_key(u, v)
-        order = np.argsort(key, kind="stable")
-        key, u, v, n = key[order], u[order], v[order], n[order]
-        first = np.flatnonzero(np.concatenate((np.ones(1, bool), key[1:] != key[:-1])))
-        key, u, v, n = key[first], u[first], v[first], np.add.reduceat(n, first)
-        _save(folder, f"pair-{shard}", key)
-        _save(folder, f"count-{shard}", np.minimum(n, 2**32 - 1).astype(np.uint32))
-        yield _batch([(0, "n", np.bincount(np.minimum(n, 5), minlength=6).astype(np.int64).tobytes())])
-        # What this shard knows of each word: contexts it follows; its followers of count 1, 2 and more, and tokens.
-        one = np.ones(len(n), np.int64)
-        h, (after, f1, f2, f3, total) = _summed(np.concatenate((v, u)), [np.concatenate(x) for x in ((one, 0 * one), (0 * one, n == 1), (0 * one, n == 2), (0 * one, n > 2), (0 * one, n))])
-        for k, (x, *rest) in _by_shard(shard_of(mix(h), shards), shards, h, after, f1, f2, f3, total):
-            yield _batch([(k, "w", pack(x, np.zeros(0, np.uint32), *(r.astype(np.uint32) for r in rest)))])
+    def merge(level: int):
+        def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, told, shard = [], [], None
+            for batch in batches:
+                for k, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if kind not in ("c", "g"):
+                        yield _batch([(k, kind, block)])
+                    elif kind == "c":
+                        told.append(unpack(block))
+                    else:
+                        shard = k
+                        parts.append(unpack(block))
+            if not parts:
+                return
+            words, n = _unpack_grams(parts)
+            del parts
+            key = gram_key(words)
+            by = np.argsort(key)
+            key, n, words = key[by], n[by], [w[by] for w in words]
+            first = np.flatnonzero(np.concatenate((np.ones(1, bool), key[1:] != key[:-1])))
+            key, n, words = key[first], np.add.reduceat(n, first), [w[first] for w in words]
+            # What begins before the start is a shorter n-gram with its plain count.
+            whole = words[0] != PAD
+            numbers = [n]
+            if level < order:
+                c, sums = _summed(np.concatenate([t[0] for t in told]).view(np.uint64), [np.concatenate([_counted(*t[j : j + 2]) for t in told]) for j in range(1, 9, 2)]) if told else (key[:0], [n[:0]] * 4)
+                at = np.searchsorted(key, c)
+                for x in sums:
+                    full = np.zeros(len(key), np.int64)
+                    full[at] = x
+                    numbers.append(full)
+            _save(folder, f"gram{level}-{shard}", key[whole])
+            _save(folder, f"counts{level}-{shard}", _tight(np.stack(numbers, 1)[whole]))
+            yield _batch([(0, f"n{level}", np.bincount(np.minimum(n[whole], 5), minlength=6).astype(np.int64).tobytes())])
+            del key, numbers
+            zero, values = 0 * n, (n == 1, n == 2, n > 2, n)
+            if level == 2:
+                # What this shard knows of each word: contexts it follows; its followers of count 1, 2 and more, and tokens.
+                h, (after, *follow) = _summed(np.concatenate((words[1], words[0])), [np.concatenate((zero + 1, zero)), *(np.concatenate((zero, x)) for x in values)])
+                for k, (x, *rest) in _by_shard(shard_of(mix(h), shards), shards, h, after, *follow):
+                    yield _batch([(k, "w", pack(x, np.zeros(0, np.uint32), *(r.astype(np.uint32) for r in rest)))])
+                return
+            # Of each n-gram without its last word: followers; without its first one: words before it.
+            before = [w[whole] for w in words[:-1]]
+            where = gram_shard(before, shards)
+            c, follow = _summed(gram_key(before), [x[whole] for x in values])
+            place = np.zeros(len(c), np.int64)
+            place[np.searchsorted(c, gram_key(before))] = where
+            for k, (x, *rest) in _by_shard(place, shards, c, *follow):
+                yield _batch([(k, "c", pack(x.view(np.int64), *(y for r in rest for y in _counts(r))))])
+            del before, where, c, follow, place
+            rest = gram_key(words[1:])
+            by = np.argsort(rest)
+            first = np.flatnonzero(np.concatenate((np.ones(1, bool), rest[by][1:] != rest[by][:-1])))
+            after = np.add.reduceat(np.where(whole, 1, n)[by], first)
+            shorter = [w[by[first]] for w in words[1:]]
+            by = np.argsort(shorter[0])
+            shorter = [w[by] for w in shorter]
+            for k, (*w, c) in _by_shard(gram_shard(shorter, shards), shards, *shorter, after[by]):
+                yield _batch([(k, "g", _pack_grams(w, c))])
+
+        return merged
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, shard = [], None
@@ -256,15 +346,17 @@ def train(docs: DataFrame, text_col: str = "text") -> Bigrams:
         yield _batch([(0, "v", np.array([(sums[0] > 0).sum(), sums[0].sum(), after.sum(), *np.bincount(np.minimum(after, 5), minlength=6)[1:5]], np.int64).tobytes())])
 
     blocks = docs.select(whole_text(text_col).alias("text")).mapInArrow(count, _BLOCKS)
-    found = written(blocks.repartitionById(shards, F.col("shard")).mapInArrow(merge, _BLOCKS), "lm-blocks")
+    for level in range(order, 1, -1):
+        blocks = blocks.repartitionById(shards, F.col("shard")).mapInArrow(merge(level), _BLOCKS)
+    found = written(blocks, "lm-blocks")
     gathered = written(found.filter("kind = 'w'").repartitionById(shards, F.col("shard")).mapInArrow(words, _BLOCKS), "lm-words")
     add = lambda df, kind, n: np.sum([np.frombuffer(r[0], np.int64) for r in df.filter(F.col("kind") == kind).select("block").collect()] or [np.zeros(n, np.int64)], 0)
-    by_count, numbers = add(found, "n", 6), add(gathered, "v", 7)  # a few numbers a shard
+    by_count, numbers = [add(found, f"n{k}", 6) for k in range(2, order + 1)], add(gathered, "v", 7)  # a few numbers a shard
     v, n, pairs = (int(x) for x in numbers[:3])
-    d, dw = discounts(*map(int, by_count[1:5])), discounts(*map(int, numbers[3:7]))
+    d, dw = [discounts(*map(int, c[1:5])) for c in by_count], discounts(*map(int, numbers[3:7]))
     t1, t2 = int(numbers[3]), int(numbers[4])
     rest = dw[1] * t1 + dw[2] * t2 + dw[3] * max(0, v - t1 - t2)
-    return Bigrams(folder, shards, v, n, pairs, d, dw, rest / pairs if pairs else 1.0)
+    return NGrams(folder, shards, order, v, n, pairs, d, dw, rest / pairs if pairs else 1.0)
 
 
 class _Arrays:
@@ -297,31 +389,37 @@ class _Arrays:
 _open: dict[str, _Arrays] = {}
 
 
-def token_scores(model: Bigrams, hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def token_scores(model: NGrams, hashes: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(count in training, add-0.1 log10 probability, model log10 probability) of each token."""
     if model.folder not in _open:
         _open.clear()
         _open[model.folder] = _Arrays(model.folder)
     arrays = _open[model.folder]
-    u = contexts(hashes, edges)
     if not len(hashes):
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
-    known, at = np.unique(np.concatenate((hashes, u)), return_inverse=True)
+    words = grams(hashes, edges, model.order)
+    known, at = np.unique(np.concatenate((hashes, words[-2])), return_inverse=True)
     numbers = arrays.find(known, shard_of(mix(known), model.shards), model.shards, "word", "numbers", 6)
-    count, after, f1, f2, f3, total = numbers.T
+    count, after = numbers[:, 0], numbers[:, 1]
     base = np.log10((count + 0.1) / (model.train + 0.1 * (model.words + 1)))
     own = (np.maximum(after - np.array(model.word_discounts)[np.minimum(after, 3)], 0) / max(1, model.pairs)) + model.share / (model.words + 1)
-    d = np.array(model.discounts)
-    back = np.where(total > 0, (d[1] * f1 + d[2] * f2 + d[3] * f3) / np.maximum(total, 1), 1.0)
     v_at, u_at = at[: len(hashes)], at[len(hashes) :]
-    key = pair_key(u, hashes)
-    pair, first, p_at = np.unique(key, return_index=True, return_inverse=True)
-    n = arrays.find(pair, pair_shard(u[first], hashes[first], model.shards), model.shards, "pair", "count", 1)[:, 0][p_at]
-    p = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total[u_at], 1) + back[u_at] * own[v_at]
+    p, context = own[v_at], numbers[u_at, 2:]
+    for level, d in enumerate(map(np.array, model.discounts), 2):
+        f1, f2, f3, total = context.T
+        back = np.where(total > 0, (d[1] * f1 + d[2] * f2 + d[3] * f3) / np.maximum(total, 1), 1.0)
+        key, first, k_at = np.unique(gram_key(words[-level:]), return_index=True, return_inverse=True)
+        shard = gram_shard([w[first] for w in words[-level:]], model.shards)
+        found = arrays.find(key, shard, model.shards, f"gram{level}", f"counts{level}", 1 if level == model.order else 5)[k_at]
+        n = found[:, 0]
+        p = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1) + back * p
+        # The next order's context of a token is this order's n-gram that ends at the token before.
+        context = np.concatenate((np.zeros((1, found.shape[1] - 1), np.int64), found[:-1, 1:]))
+        context[edges[:-1]] = 0
     return count[v_at], base[v_at], np.log10(p)
 
 
-def score(docs: DataFrame, model: Bigrams, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: NGrams, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, n_known, base_score, score and perplexity of each whole text."""
     ship(docs.sparkSession)
     docs = making_room(docs, ["n_tokens", "n_known", "base_score", "score", "perplexity"], keep=(text_col,))

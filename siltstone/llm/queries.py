@@ -61,9 +61,13 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+#: Words of the longest n-grams of op8's model.
+ORDER = 3
+
+
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = kneser_ney.train(docs.filter(~held_out(10)))
+    model = kneser_ney.train(docs.filter(~held_out(10)), order=ORDER)
     out = kneser_ney.score(docs, model)
     return out.select("doc_id", held_out(10).alias("held_out"), "n_tokens", "n_known", F.lit(model.train).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 

@@ -91,6 +91,65 @@ def test_language_model_equals_brute_force(unique, nothing):
     assert kneser_ney.score(nothing, model).count() == 0
 
 
+def brute_model(texts, order):
+    """p(words before, word) by the recursive definition; texts are lists of words that end in None, 0 is the start."""
+    counts = [Counter() for _ in range(order)]
+    for t in texts:
+        padded = [0, *t]
+        for k in range(1, order + 1):
+            counts[k - 1].update(tuple(padded[i - k + 1 : i + 1]) for i in range(max(1, k - 1), len(padded)))
+    total, v = sum(counts[0].values()), len(counts[0])
+    for k in range(order - 1, 0, -1):
+        before = Counter(g[1:] for g in counts[k])
+        counts[k - 1] = Counter({g: c if g[0] == 0 else before[g] for g, c in counts[k - 1].items()})
+
+    def discounts(c):
+        c = Counter(c)
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0
+        return [0, *(max(0, k - (k + 1) * y * c[k + 1] / c[k]) for k in (1, 2, 3))] if min(c[1], c[2], c[3], c[4]) else [0, 0.5, 1.0, 1.5]
+
+    d = [discounts(c.values()) for c in counts]
+    follow = [defaultdict(list) for _ in counts]
+    for table, c in zip(follow, counts, strict=True):
+        for g, n in c.items():
+            table[g[:-1]].append(n)
+
+    def p(before, w):
+        k = len(before)
+        lower = 1 / (v + 1) if not k else p(before[1:], w)
+        found = follow[k].get(before)
+        if not found:
+            return lower
+        n = counts[k][(*before, w)]
+        return max(n - d[k][min(n, 3)], 0) / sum(found) + sum(d[k][min(x, 3)] for x in found) / sum(found) * lower
+
+    return p, total
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_any_order_equals_brute_force(spark, order):
+    rnd = random.Random(order)
+    word = lambda: rnd.choice("a a a b b c d e f g".split() + ["x" + str(rnd.randrange(30))])
+    rows = [(k, " ".join(word() for _ in range(rnd.choice([0, 1, 2, 3, 10, 40])))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    model = kneser_ney.train(docs.filter("doc_id % 4 > 0"), order=order)
+    p, total = brute_model([[*t.split(), None] for k, t in rows if k % 4], order)
+    assert model.train == total
+    for r in kneser_ney.score(docs.withColumnRenamed("text", "t").selectExpr("doc_id", "t as text", "t"), model).collect():
+        t = [0, *r.t.split(), None]
+        want = sum(math.log10(p(tuple(t[max(0, i - order + 1) : i]), t[i])) for i in range(1, len(t)))
+        assert math.isclose(r.score, want, rel_tol=1e-9), r
+
+
+def test_language_model_query_knows_two_words_of_context(spark, tmp_path):
+    from siltstone.llm import queries
+
+    rows = [(k, t) for k, t in enumerate(["a b c", "d b e"] * 200)] + [(1000, "a b c"), (1001, "a b e")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.op8_lm_scoring(spark, str(tmp_path)).collect()}
+    assert got[1000] > got[1001] + 1
+
+
 def test_language_model_without_training_text(nothing, hard):
     got = kneser_ney.score(hard, kneser_ney.train(nothing))
     assert got.count() == hard.count() and got.filter("abs(score) > 1e-9 or abs(base_score) > 1e-9 or n_known != 0").count() == 0
