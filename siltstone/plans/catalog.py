@@ -493,6 +493,14 @@ def identity_scrub(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", texts.scrub_identity(raw, ["ann"], ["proj1"], ["the"]).alias("scrubbed"))
 
 
+@registered()
+def identity_scrub_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The whole text, as it stands, after the same head; identity_scrub and its SQL see 40 letters of it. No SQL: a test holds it against Python's re."""
+    raw = F.expr("concat('at /home/ann/x and /home/annex by ann for proj', doc_id % 3, ' key op://vault/k', doc_id, ' ', coalesce(text, ''))")
+    scrubbed = texts.scrub_identity(raw, ["ann"], ["proj1"], ["the"])
+    return read(spark, d, "documents").select("doc_id", F.length(scrubbed).cast("long").alias("chars"), F.sha2(scrubbed, 256).alias("scrubbed_sha256"))
+
+
 @registered("""SELECT doc_id, term, i AS line FROM (SELECT doc_id, string_split(text || chr(10) || 'see op://vault/x' || chr(10) || 'op://v/y // pickaxe-allow', chr(10)) AS x FROM documents),
     LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i), (VALUES ('op://'), ('idiot'), ('License')) t(term)
     WHERE NOT regexp_matches(x[i], '//\\s*pickaxe-allow\\s*$') AND contains(x[i], term)""")

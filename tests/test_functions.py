@@ -1,5 +1,8 @@
 """The reference's literal cases for the text functions, as table-driven tests."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +139,21 @@ def test_arguments():
         with pytest.raises(ValueError):
             arguments.replay_arguments(bad)
     assert arguments.parse_flags(["a", "--k=v", "--dry-run"]) == (["a"], {"k": "v", "dry-run": True})
+
+
+def test_identity_scrub_reaches_the_end_of_a_text(spark, tmp_path):
+    from siltstone.plans import catalog
+
+    far = "plain words " * 500
+    ends = ["by ann", "in /home/ann", "in /home/ann/x and /home/annex", "key op://vault/far/away end", "the other, the-end", "proj1 and proj12", "annex then_ann the1", "", "$HOME \\1 <user> é漢🙂ann\n/home/ann\n"]
+    rows = [(k, far + e) for k, e in enumerate(ends)] + [(100, None), (101, "ann")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(k, text):
+        out = re.sub(r"op://\S+", "<secret-ref>", f"at /home/ann/x and /home/annex by ann for proj{k % 3} key op://vault/k{k} {text or ''}", flags=re.A).replace("proj1", "<project-ref>")
+        out = re.sub(r"/home/ann(?=/|\Z)", "$HOME", out)
+        for word, mark in (("ann", "<user>"), ("the", "<name>")):
+            out = re.sub(rf"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])", mark, out)
+        return k, len(out), hashlib.sha256(out.encode()).hexdigest()
+
+    assert sorted(map(tuple, catalog.identity_scrub_whole(spark, str(tmp_path)).collect())) == [brute(*r) for r in rows]
