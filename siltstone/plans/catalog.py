@@ -234,6 +234,13 @@ def session_rollup(spark: SparkSession, d: str) -> DataFrame:
     return sessions.rollup(t, "session_id", "turn_index", "at", "role", "title")
 
 
+@registered()
+def session_rollup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The title is all of the last assistant's words, hashed; session_rollup and its SQL see 30 characters. No SQL: a test holds it against plain Python."""
+    t = turns(spark, d).withColumns({"at": F.date_format("occurred_at", "yyyy-MM-dd HH:mm"), "title": F.when(F.col("role") == "assistant", F.sha2("text", 256))})
+    return sessions.rollup(t, "session_id", "turn_index", "at", "role", "title").withColumnRenamed("summary", "summary_sha256")
+
+
 @registered(f"WITH {_SESSIONS} SELECT * FROM s WHERE started_at >= TIMESTAMP '2024-01-01 05:00:00' ORDER BY started_at DESC NULLS FIRST, session_id LIMIT 25 OFFSET 5")
 def list_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.list_sessions(_sessions(spark, d), 25, 5, since="2024-01-01 05:00:00")
@@ -622,6 +629,16 @@ def tool_one_liners(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", projection.one_liner(name, args).alias("line"))
 
 
+@registered()
+def tool_one_liners_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Arguments of the whole text as it stands, cut by the operator's own lengths only; tool_one_liners and its SQL see 90 characters. No SQL: a test holds it against plain Python."""
+    v = F.coalesce("text", F.lit(""))
+    args = F.to_json(F.struct(*[v.alias(k) for k in ("file_path", "old_string", "command", "description", "pattern", "url", "query")]))
+    name = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.pmod("doc_id", F.lit(len(_TOOLS))) + 1).cast("int"))
+    line = projection.one_liner(name, args)
+    return read(spark, d, "documents").select("doc_id", F.length(line).cast("long").alias("chars"), F.sha2(line, 256).alias("line_sha256"))
+
+
 @registered("""SELECT 'c' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS role,
     sha256(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text_sha256, CASE WHEN turn % 2 = 0 THEN 't' || turn ELSE 'start' END AS occurred_at FROM conversations WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0""")
 def web_export(spark: SparkSession, d: str) -> DataFrame:

@@ -157,3 +157,30 @@ def test_identity_scrub_reaches_the_end_of_a_text(spark, tmp_path):
         return k, len(out), hashlib.sha256(out.encode()).hexdigest()
 
     assert sorted(map(tuple, catalog.identity_scrub_whole(spark, str(tmp_path)).collect())) == [brute(*r) for r in rows]
+
+
+def test_one_liners_hold_whole_arguments(spark, tmp_path):
+    from siltstone.plans import catalog
+
+    long = 'path/é漢🙂 "quoted" \\n\n\t' + "words of a long argument " * 200
+    rows = [(k, long + str(k)) for k in range(11)] + [(k, "short") for k in range(11, 22)] + [(k, None) for k in range(22, 33)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(k, text):
+        v = text or ""
+        line = [
+            f"[Read: {v}]", f"[Edit: {v} ({v[:40]}...)]", f"[Write: {v}]", f"[Bash: {v[:60]}]", f'[Task: "{v[:50]}" → general-purpose]', f"[Grep: {v}]",
+            f"[Glob: {v}]", f"[WebFetch: {v[:60]}]", f"[WebSearch: {v}]", "[TodoWrite]", "[Other]",
+        ][k % 11]
+        return k, len(line), hashlib.sha256(line.encode()).hexdigest()
+
+    assert sorted(map(tuple, catalog.tool_one_liners_whole(spark, str(tmp_path)).collect())) == [brute(*r) for r in rows]
+
+
+def test_session_titles_are_whole(spark, tmp_path):
+    from siltstone.plans import catalog
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "assistant", "same beginning of thirty chars " + "a" * 500), (1, 3, "user", "x"), (2, 0, "assistant", "same beginning of thirty chars b"), (3, 0, "user", "alone")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.session_id: r.summary_sha256 for r in catalog.session_rollup_whole(spark, str(tmp_path)).collect()}
+    assert got == {1: hashlib.sha256(rows[2][3].encode()).hexdigest(), 2: hashlib.sha256(rows[4][3].encode()).hexdigest(), 3: None}
