@@ -1,8 +1,9 @@
 """Packing: optimal length buckets and token-budget batches.
 
 The lengths of all documents are counted on a grid (every length up to EXACT, then steps of 1/STEPS of an
-octave: a few thousand cells, whatever the input). Dynamic programming over that histogram chooses the bucket
-boundaries that minimise padding; every document is padded to its bucket's boundary. Inside each bucket,
+octave: a few thousand cells, whatever the input), with the largest length in each cell. Dynamic programming over
+that histogram chooses, among those largest lengths, the bucket boundaries that minimise padding; every document is
+padded to its bucket's boundary, which is the length of its longest document. A boundary inside a cell isn't tried. Inside each bucket,
 batches take documents up to the token budget.
 
 A bucket may hold most documents, so batches are formed in shards of a bucket, dealt by a hash of the id and
@@ -65,13 +66,13 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
 def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """One row per input row: doc_id, length, bucket, padded_length, batch, slot (place in the batch)."""
     counted = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("length")).withColumn("cell", grid(F.col("length")))
-    histogram = sorted((r[0], r[1]) for r in counted.groupBy("cell").count().collect())  # a few thousand cells at most
-    cells, counts = (np.array([h[k] for h in histogram], np.int64) for k in (0, 1))
-    bounds = best_boundaries(cells, counts, buckets)
+    histogram = sorted((r[0], r[1]) for r in counted.groupBy("cell").agg(F.max("length").alias("longest"), F.count(F.lit(1)).alias("n")).select("longest", "n").collect())  # a few thousand cells at most
+    longest, counts = (np.array([h[k] for h in histogram], np.int64) for k in (0, 1))
+    bounds = best_boundaries(longest, counts, buckets)
     if not bounds:
         bounds = [0]
-    held = np.bincount(np.searchsorted(bounds, cells), counts, len(bounds)).astype(np.int64)
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("cell")))
+    held = np.bincount(np.searchsorted(bounds, longest), counts, len(bounds)).astype(np.int64)
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("length")))
     of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("bucket") + 1)
     shards = [max(1, math.ceil(h / SHARD_ROWS)) for h in held]
     placed = counted.withColumn("bucket", bucket).withColumns({"padded_length": of(bounds).cast("long"), "shard": F.pmod(F.xxhash64("doc_id", F.lit("shard")), of(shards))})

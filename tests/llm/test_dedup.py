@@ -1,6 +1,7 @@
 """Exact dedup, sharding, packing, near join and fingerprints against brute force."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -181,3 +182,15 @@ def test_sketches_merge():
     both = fingerprints.merge(x, y)
     assert set(both.tolist()) >= set(x.tolist()) | set(y.tolist())
     assert fingerprints.likeness(x, both)[0] == 1
+
+
+def test_packing_pads_to_the_longest_row_of_a_bucket(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(11)
+    docs = spark.createDataFrame([(k, rnd.randrange(1, 90_000)) for k in range(3000)], "doc_id long, size long")
+    longest = defaultdict(int)
+    got = packing.pack(docs, F.col("size")).collect()
+    for r in got:
+        longest[r.bucket] = max(longest[r.bucket], r.length)
+    assert len(got) == 3000 and all(r.padded_length == longest[r.bucket] for r in got)
