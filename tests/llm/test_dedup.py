@@ -125,20 +125,92 @@ def brute(rows, threshold=0.8):
     return {i: (find(i), links[i]) for i in ids}
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 2, "block": 3}])
+def brute_rows(texts, threshold=0.8):
+    """(class, links) of each row: rows are told apart by their places, not by ids."""
+    sets = [shingles(t) for t in texts]
+    root, links = list(range(len(sets))), [0] * len(sets)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x in enumerate(sets):
+        for b in range(a):
+            if x == sets[b] or len(x & sets[b]) >= threshold * len(x | sets[b]) > 0:
+                links[a] += 1
+                links[b] += 1
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    return [(find(k), links[k]) for k in range(len(sets))]
+
+
+def classes_of(rows):
+    """Rows by class."""
+    out = defaultdict(list)
+    for r, (c, _) in zip(rows, brute_rows([r.text for r in rows]), strict=True):
+        out[c].append(r)
+    return [*out.values()]
+
+
+@pytest.mark.parametrize("options", [{}, {"small": 2, "block": 3, "filter_bytes": 0}])
 def test_near_classes_equal_brute_force(unique, nothing, options):
     want = brute(unique.collect())
     got = {r.doc_id: (r.class_id, r.n_links) for r in near_join.near_classes(unique, **options).collect()}
     assert got == want
     if not options:
         assert near_join.near_classes(nothing).count() == 0
-        left = near_join.near_distinct(unique)
-        assert left.columns == unique.columns
-        assert {r.doc_id for r in left.collect()} == {c for c, _ in want.values()}
-
-
-def test_near_classes_of_hard_rows_keep_every_row(hard):
-    assert near_join.near_classes(hard).count() == hard.count()
+        assert near_join.near_distinct(nothing).count() == 0
+
+
+def test_near_rows_with_null_and_repeated_ids(spark, hard):
+    rows = [(3, "totally different words here now ok"), (1, "a b c d e f g"), (1, "a b c d e f g"), (3, "A b c d e f g"), (None, "x y z"), (None, "x y z"), (2, "x y z"), (5, None), (5, ""), (5, "a b c d e f g"), (None, "alone"), (7, "q r"), (7, "Q r")]
+    odd = hard.select("*").limit(0).unionByName(spark.createDataFrame([(k, t, "en", "s", 1, 0.5, "m", "i") for k, t in rows], hard.schema)).unionByName(hard)
+    found = odd.collect()
+    links = Counter((r.doc_id, n) for r, (_, n) in zip(found, brute_rows([r.text for r in found]), strict=True))
+    assert Counter((r.doc_id, r.n_links) for r in near_join.near_classes(odd).collect()) == links
+    left = near_join.near_distinct(odd)
+    assert left.columns == odd.columns
+    kept = left.collect()
+    one_each = lambda rs: {min((r.doc_id is None, r.doc_id or 0) for r in rs)}
+    classes = classes_of(found)
+    where = {shingles(r.text): k for k, rs in enumerate(classes) for r in rs}
+    assert Counter(where[shingles(r.text)] for r in kept) == Counter(range(len(classes)))
+    assert all({(r.doc_id is None, r.doc_id or 0)} == one_each(classes[where[shingles(r.text)]]) and r in found for r in kept)
+
+
+def test_wanted_ids_filter_and_join_agree(spark):
+    docs = spark.range(40_000).selectExpr("if(id % 50 = 0, null, id) as id", "'t' as text")
+    ids = spark.createDataFrame([(k,) for k in range(0, 40_000, 37)] + [(None,)], "doc_id long")
+    want = docs.filter("id is null or id % 37 = 0").count()
+    assert near_join.among(docs, ids, "id", most=0).count() == want
+    near = near_join.among(docs, ids, "id")
+    assert near.filter("id is null or id % 37 = 0").count() == want and near.count() < want + 0.05 * 40_000
+    assert near.columns == docs.columns
+
+
+def test_recall_on_a_test_table(spark):
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.01"
+    if not Path(f"{folder}/documents.parquet").exists():
+        pytest.skip("no test tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    holds, sets = defaultdict(list), {r.doc_id: shingles(r.text) for r in rows}
+    for i, s in sets.items():
+        for x in s:
+            holds[x].append(i)
+    links = Counter()
+    for i, s in sets.items():
+        both = Counter(j for x in s for j in holds[x] if j > i)
+        for j, n in both.items():
+            if n * 5 >= 4 * (len(s) + len(sets[j]) - n):
+                links.update((i, j))
+    got = {r.doc_id: r.n_links for r in near_join.near_classes(docs).collect()}
+    empty = sum(not s for s in sets.values())
+    want = {i: links[i] if s else empty - 1 for i, s in sets.items()}
+    assert sum(min(got[i], want[i]) for i in want) >= 0.999 * sum(want.values()) and all(got[i] <= want[i] for i in want)
 
 
 def test_bands_reach_their_recall():
