@@ -6,9 +6,14 @@ round every row finds its leftmost pair of least rank (a hashed pair table gives
 pairs at once), merges it, and rows are compacted; rows that have no pair left leave. A piece longer
 than LONG bytes takes a heap of the same pairs instead, which is exact too and not quadratic.
 
-Defined results: a null text is the empty text and has no tokens; decoding gives back the encoded
-bytes; an empty table gives an empty result; other columns pass through, and the operator's own take the place of
-columns of the same name.
+A worker remembers what it has encoded: the stretches between single spaces of ordinary text, and the pieces of other
+texts (indented code, scripts without spaces), each of at most KEPT characters and REMEMBERED of them at a time, so
+what it holds is bounded in bytes. Longer ones are encoded anew.
+
+Defined results: a null text is the empty text and has no tokens; texts of any length are encoded whole, in slices of
+several texts, never of a part of one; decoding gives back the encoded bytes; repeated rows are rows of their own, with
+the same ids; an empty table gives an empty result; other columns pass through, and the operator's own take the place
+of columns of the same name.
 """
 
 from __future__ import annotations
@@ -24,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import making_room, ship
-from .kernels import HashMap, edges_of, gather, in_slices
+from .kernels import Grown, HashMap, edges_of, gather, in_slices
 
 #: Bytes of a piece up to which it goes into a matrix.
 LONG = 256
-#: Distinct chunks of text that a worker remembers; then it starts anew.
-REMEMBERED = 700_000
+#: Distinct stretches of text that a worker remembers, then it starts anew; and their characters at most.
+REMEMBERED, KEPT = 700_000, 48
 _CLASSES = (2, 3, 4, 5, 6, 8, 10, 12, 16, 24, 32, 64, 128, LONG)
 _NONE = 1 << 40
 #: A space with white space on both sides.
@@ -63,8 +68,10 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
+        #: Stretches cut at their pieces, and single pieces, by number; what each number's ids are.
         self.seen: dict[str, int] = {}
-        self.seen_ids, self.seen_starts, self.seen_lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.seen_pieces: dict[str, int] = {}
+        self.ids, self.starts_of, self.lengths_of = Grown(np.uint32), Grown(np.int64), Grown(np.int64)
 
     def _matrix(self, rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of pieces of up to width bytes, and how many each has."""
@@ -149,50 +156,65 @@ class Codec:
             flat[np.repeat(starts[some] - (ends - got), got) + np.arange(len(tokens))] = tokens
         return flat, counts
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode chunks not seen before."""
-        found = [self.pattern.findall(c) for c in chunks]
+    def _learn(self, found: list[list[str]]) -> None:
+        """Encode the pieces of stretches not seen before."""
         distinct = dict.fromkeys(p for ps in found for p in ps)
         order = {p: k for k, p in enumerate(distinct)}
         flat, counts = self.encode_pieces([p.encode() for p in distinct])
         starts = np.cumsum(counts) - counts
         index = np.fromiter((order[p] for ps in found for p in ps), np.int64)
         many = np.fromiter(map(len, found), np.int64, len(found))
-        ids = gather(starts[index], counts[index], flat)
         ends = np.concatenate(([0], np.cumsum(counts[index])))
         edges = np.concatenate(([0], np.cumsum(many)))
         lengths = ends[edges[1:]] - ends[edges[:-1]]
-        self.seen_starts = np.concatenate((self.seen_starts, len(self.seen_ids) + np.cumsum(lengths) - lengths))
-        self.seen_lengths = np.concatenate((self.seen_lengths, lengths))
-        self.seen_ids = np.concatenate((self.seen_ids, ids))
+        self.starts_of.add(self.ids.size + np.cumsum(lengths) - lengths)
+        self.lengths_of.add(lengths)
+        self.ids.add(gather(starts[index], counts[index], flat))
+
+    def _numbers(self, stretches: list[list[str]], known: dict[str, int], cut: bool) -> list[np.ndarray]:
+        """The numbers of each text's stretches, learned where they are new."""
+        new = [*set().union(*stretches).difference(known)]
+        if new:
+            known.update(zip(new, range(self.lengths_of.size, self.lengths_of.size + len(new)), strict=True))
+            self._learn([self.pattern.findall(c) for c in new] if cut else [[c] for c in new])
+        return [np.fromiter(map(known.__getitem__, c), np.int64, len(c)) for c in stretches]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat token ids of the texts and the number of each text's."""
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) + len(self.seen_pieces) > REMEMBERED:
             self._forget()
-        # Pieces never reach over a single space that stands that has no white space on one of its sides: there a
-        # text can be cut first, and most chunks have been seen before. Other texts stay whole.
-        chunks = []
+        # Pieces never reach over a single space that has no white space on one of its sides: there a text can be cut
+        # first, and most stretches have been seen before. Other texts, and long stretches, are cut into their pieces.
+        plain: list[list[str]] = []
+        pieces: list[list[str]] = []
         for t in texts:
-            if not t:
-                chunks.append([])
-            elif _AMID.search(t):
-                chunks.append([t])
-            else:
+            cut: list[str] = []
+            if t and not _AMID.search(t):
                 head, *tail = t.split(" ")
-                chunks.append([head, *map(" ".__add__, tail)] if head else [*map(" ".__add__, tail)])
-        known, fresh, rows = self.seen, [], []
-        for c in chunks:
-            new = set(c).difference(known)
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            fresh += new
-            rows.append(np.fromiter(map(known.__getitem__, c), np.int64, len(c)))
-        if fresh:
-            self._learn(fresh)
+                cut = [head, *map(" ".__add__, tail)] if head else [*map(" ".__add__, tail)]
+                if max(map(len, cut)) > KEPT:
+                    cut = []
+            plain.append(cut)
+            pieces.append([] if cut or not t else self.pattern.findall(t))
+        rows = self._numbers(plain, self.seen, True)
+        long: dict[str, int] = {}
+        if any(pieces):
+            short = self._numbers([[p for p in ps if len(p) <= KEPT] for ps in pieces], self.seen_pieces, False)
+            held = self.ids.size, self.lengths_of.size
+            others = self._numbers([[p for p in ps if len(p) > KEPT] for ps in pieces], long, False)
+            for k, ps in enumerate(pieces):
+                if ps:
+                    rows[k] = np.zeros(len(ps), np.int64)
+                    is_long = np.fromiter((len(p) > KEPT for p in ps), bool, len(ps))
+                    rows[k][~is_long], rows[k][is_long] = short[k], others[k]
         index = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        lengths = self.seen_lengths[index]
+        lengths = self.lengths_of.held[index]
         edges = edges_of(lengths)[edges_of(np.fromiter(map(len, rows), np.int64, len(rows)))]
-        return gather(self.seen_starts[index], lengths, self.seen_ids), np.diff(edges)
+        out = gather(self.starts_of.held[index], lengths, self.ids.held)
+        if long:  # encoded for these texts only
+            self.ids.size, self.lengths_of.size = held
+            self.starts_of.size = held[1]
+        return out, np.diff(edges)
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.starts[ids], self.lengths[ids], self.flat).tobytes()

@@ -58,6 +58,26 @@ class HashMap:
         return out.reshape(keys.shape)
 
 
+class Grown:
+    """An array that grows at its end; room doubles, so what is held is seldom copied."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def add(self, values: np.ndarray) -> None:
+        most = self.size + len(values)
+        if most > len(self.room):
+            room = np.zeros(max(most, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : most] = values
+        self.size = most
+
+    @property
+    def held(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 def gather(starts: np.ndarray, lengths: np.ndarray, flat: np.ndarray) -> np.ndarray:
     """The stretches flat[start : start + length], one after another."""
     total = int(lengths.sum())

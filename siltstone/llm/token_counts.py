@@ -7,17 +7,19 @@ that prefix's. The table of counts answers how many tokens a prefix has and whic
 budget, without encoding anything again.
 
 No piece holds a space mark after another character, so the table of a text is its words' tables, each
-added to the count before it; words recur, and a worker remembers theirs.
+added to the count before it. Words recur, and a worker keeps their whole tables, a byte an entry: totals, the
+counts at every prefix and the prefix that fits a budget are all read from them. Words of more than KEPT characters
+have their tables made for the texts at hand and not kept, so what a worker holds is bounded in bytes.
 
 Defined results: a null text is the empty text and has 0 tokens; special strings in a text are ordinary
-text; an empty table gives an empty result; other columns pass through, and the operator's own take the place of
-columns of the same name.
+text; texts and words of any length are counted whole, words of up to the widest matrix many at a time, longer ones
+character by character; repeated rows are rows of their own; an empty table gives an empty result; other columns pass
+through, and the operator's own take the place of columns of the same name.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -27,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import making_room, ship
-from .kernels import HashMap, edges_of, in_slices
+from .kernels import Grown, HashMap, edges_of, in_slices
 
-#: Words whose tables a worker remembers; then it starts anew.
-REMEMBERED = 700_000
-_CLASSES = (4, 6, 8, 10, 12, 16, 20, 28, 40)
+#: Words whose tables a worker keeps, then it starts anew; and their characters at most.
+REMEMBERED, KEPT = 700_000, 64
+#: Pairs of pieces whose order a worker remembers; then it starts anew.
+PAIRS = 1_000_000
+_CLASSES = (4, 6, 8, 10, 12, 16, 20, 28, 40, 64, 128, 256)
 _BASE = 0x9E3779B97F4A7C15
 #: The mark of a space inside pieces.
 MARK = "▁"
@@ -59,9 +63,19 @@ class PrefixCounter:
                 del self.ids[p]
         self.by_hash = HashMap(18)
         self.by_hash.insert(np.array([self._hash(p) for p in self.ids], np.uint64), np.fromiter(self.ids.values(), np.int64, len(self.ids)))
+        self._forget_pairs()
+        self._forget()
+
+    def _forget_pairs(self) -> None:
         self.follows: dict[int, bool] = {}
         self.pairs = HashMap(18)
+
+    def _forget(self) -> None:
+        #: Words by number; where each number's table starts, its length; the tables, and of each entry over 255 the place and the count.
         self.seen: dict[str, int] = {}
+        self.starts, self.sizes, self.entries = Grown(np.int64), Grown(np.int64), Grown(np.uint8)
+        self.large: dict[int, int] = {}
+        self.late: list[str] = []  # words too long to keep
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -84,7 +98,7 @@ class PrefixCounter:
         ok = self.follows[a << 20 | b] = self._merge([*left, *right]) == [left, right]
         return ok
 
-    def table(self, word: str) -> bytes | array:
+    def table(self, word: str) -> np.ndarray:
         """Token counts of the prefixes of 1, 2, ... characters of a word."""
         ids, follows, longest = self.ids, self.follows, self.longest
         n = len(word)
@@ -106,21 +120,24 @@ class PrefixCounter:
                     break
             else:  # a character that is no piece: one token for each of its bytes
                 last[i], count[i] = -1, count[i - 1] + len(word[i - 1].encode("utf-8", "surrogatepass"))
-        return bytes(count[1:]) if max(count) < 256 else array("l", count[1:])
+        return np.array(count[1:], np.int64)
 
     def _may_follow(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each piece can stand after the one before it."""
         keys = (before.astype(np.uint64) << np.uint64(20)) | piece.astype(np.uint64)
         found = self.pairs.get(keys)
         if (found < 0).any():
+            if self.pairs.count > PAIRS:
+                self._forget_pairs()
+                found = self.pairs.get(keys)
             new = np.unique(keys[found < 0])
             ok = np.fromiter((self._pair(int(k) >> 20, int(k) & 0xFFFFF) for k in new), np.int64, len(new))
             self.pairs.insert(new, ok)
             found = self.pairs.get(keys)
         return found > 0
 
-    def totals(self, words: list[str], width: int) -> np.ndarray:
-        """The last entry of each word's table, for words of up to width characters: all tables at once, column by column."""
+    def tables(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(flat, sizes): the tables of words of up to width characters, all at once, column by column."""
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
         codes = np.zeros((n, width), np.uint64)
@@ -153,7 +170,7 @@ class PrefixCounter:
             r, j = r[ok], j[ok]
             last[r, i] = p[ok]
             count[r, i] = count[r, j] + 1
-        return count[np.arange(n), size]
+        return count[:, 1:][np.arange(width) < size[:, None]], size
 
     def words(self, text: str) -> list[str]:
         """The words of a text, spaces in front; the model puts one before the text."""
@@ -162,67 +179,82 @@ class PrefixCounter:
         text = f" {text.replace(MARK, ' ')}"
         return _WORDS.findall(text) if "  " in text or text[-1] == " " else [*map(" ".__add__, text[1:].split(" "))]
 
-    def word_counts(self, words: list[str]) -> np.ndarray:
-        """The number of tokens of each word."""
-        return self.each_count([words])[0]
-
-    def each_count(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """The numbers of tokens of each text's words."""
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
+    def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The numbers of each text's words, learned where they are new."""
         if new := set().union(*texts).difference(self.seen):
-            self.learn([*new])
-        edges = edges_of(np.fromiter(map(len, texts), np.int64, len(texts)))
-        flat = np.fromiter(map(self.seen.__getitem__, chain.from_iterable(texts)), np.int64, int(edges[-1]))
-        return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+            ordered = sorted(new, key=len)
+            self.late += [w for w in ordered if len(w) > KEPT]
+            self.learn(ordered)
+        return [np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words)) for words in texts]
 
     def learn(self, words: list[str]) -> None:
+        """Tables of words not seen before, in ascending order of length."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        self.seen.update(zip(words, range(self.sizes.size, self.sizes.size + len(words)), strict=True))
         low = 0
-        for width in _CLASSES:
-            some = np.flatnonzero((sizes > low) & (sizes <= width)).tolist()
-            low = width
-            for k in range(0, len(some), 1 << 14):
-                part = [words[x] for x in some[k : k + (1 << 14)]]
-                self.seen.update(zip(part, self.totals(part, width).tolist(), strict=True))
-        for x in np.flatnonzero(sizes > low).tolist():
-            self.seen[words[x]] = self.table(words[x])[-1]
+        for width in (*_CLASSES, None):
+            end = len(words) if width is None else int(np.searchsorted(sizes, width, "right"))
+            step = 1 if width is None else max(1, (1 << 18) // width)
+            for k in range(low, end, step):
+                part = words[k : min(k + step, end)]
+                flat, own = (self.table(part[0]), sizes[k : k + 1]) if width is None else self.tables(part, width)
+                self.starts.add(self.entries.size + edges_of(own)[:-1])
+                self.sizes.add(own)
+                for at in np.flatnonzero(flat > 255).tolist():
+                    self.large[self.entries.size + at] = int(flat[at])
+                self.entries.add(np.minimum(flat, 255).astype(np.uint8))
+            low = end
+
+    def let_go(self) -> None:
+        """Drop the tables of long words and of what was learned after them, or all where there are too many; numbers given out before end here."""
+        if len(self.seen) > REMEMBERED:
+            self._forget()
+        elif self.late:
+            first = min(self.seen[w] for w in self.late)
+            at = int(self.starts.held[first])
+            self.seen = {w: k for w, k in self.seen.items() if k < first}
+            self.large = {k: v for k, v in self.large.items() if k < at}
+            self.starts.size, self.sizes.size, self.entries.size, self.late = first, first, at, []
+
+    def counts_of(self, numbers: np.ndarray) -> np.ndarray:
+        """The numbers of tokens of words."""
+        at = self.starts.held[numbers] + self.sizes.held[numbers] - 1
+        return self._full(self.entries.held[at].astype(np.int64), at)
+
+    def _full(self, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        for k in np.flatnonzero(counts == 255).tolist() if self.large else []:
+            counts[k] = self.large.get(int(at[k]), 255)
+        return counts
+
+    def prefix_table(self, numbers: np.ndarray) -> np.ndarray:
+        """Counts at the ends of 1, 2, ... characters of the words, one after another, from the kept tables."""
+        sizes = self.sizes.held[numbers]
+        at = np.repeat(self.starts.held[numbers] - edges_of(sizes)[:-1], sizes) + np.arange(int(sizes.sum()))
+        inside = self._full(self.entries.held[at].astype(np.int64), at)
+        return inside + np.repeat(edges_of(self.counts_of(numbers))[:-1], sizes)
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of the text's prefixes of 0, 1, ... characters."""
         words = self.words(text)
-        out, total = [np.zeros(1, np.int64)], 0
-        for w in words:
-            table = np.fromiter(self.table(w), np.int64, len(w))
-            out.append(table + total)
-            total += int(table[-1])
-        joined = np.concatenate(out)
-        # joined[0] is nothing, joined[1] the space that the model puts in front: no prefix of the text has it alone.
-        return np.concatenate((np.zeros(1, np.int64), joined[2:])) if words else joined
+        if not words:
+            return np.zeros(1, np.int64)
+        # The table starts with the space that the model puts in front: no prefix of the text has it alone.
+        return np.concatenate((np.zeros(1, np.int64), self.prefix_table(self.numbers([words])[0])[1:]))
 
     def count(self, text: str) -> int:
-        return int(self.word_counts(self.words(text)).sum())
+        return int(self.counts_of(self.numbers([self.words(text)])[0]).sum())
 
-    def fits(self, text: str, budget: int, words: list[str] | None = None, counts: np.ndarray | None = None) -> int:
-        """Characters of the longest prefix of at most budget tokens, all of whose own prefixes fit too."""
-        words = self.words(text) if words is None else words
-        if not words:
+    def fits(self, numbers: np.ndarray, budget: int) -> int:
+        """Characters of the longest prefix of a text of at most budget tokens, all of whose own prefixes fit too."""
+        if not len(numbers):
             return 0
-        before = edges_of(self.word_counts(words) if counts is None else counts)
-        # Inside a word a prefix can have more tokens than the word: look from the first word on that could pass the budget.
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        could = np.flatnonzero(before[:-1] + 4 * sizes > budget)
-        starts = edges_of(sizes)
-        for k in could.tolist():
-            if before[k] + self.most(words[k]) <= budget:
-                continue
-            table = self.table(words[k])
-            return max(0, int(starts[k]) + next(i for i, c in enumerate(table) if before[k] + c > budget) - 1)
-        return len(text)
-
-    def most(self, word: str) -> int:
-        """The largest count in a word's table."""
-        return max(self.table(word))
+        sizes = self.sizes.held[numbers]
+        before = edges_of(self.counts_of(numbers))
+        ends = edges_of(sizes)
+        # A prefix that ends inside a word has at most 4 tokens a character more than the words before: most of the text is passed over.
+        first = int(np.argmax(np.append(before[:-1] + 4 * sizes > budget, True)))
+        over = np.flatnonzero(before[first] + self.prefix_table(numbers[first:]) > budget)
+        return max(0, int(ends[first]) + int(over[0]) - 1) if len(over) else int(ends[-1]) - 1
 
 
 _counters: dict[str, PrefixCounter] = {}
@@ -253,15 +285,14 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", budget: int |
             rest = batch.drop_columns([text_col])
             at = 0
             for texts in in_slices([t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]):
-                each = [own.words(t) for t in texts]
-                counts = own.each_count(each)
-                n_tokens = [int(c.sum()) for c in counts]
-                # A text of so few characters can't pass the budget, whatever its bytes.
-                fits = [] if budget is None else [len(t) if len(t) * 4 < budget else own.fits(t, budget, w, c) for t, w, c in zip(texts, each, counts, strict=True)]
+                numbers = own.numbers([own.words(t) for t in texts])
+                n_tokens = [int(own.counts_of(x).sum()) for x in numbers]
+                fits = [] if budget is None else [own.fits(x, budget) for x in numbers]
                 columns = [*rest.slice(at, len(texts)).columns, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64())]
                 columns += [pa.array(fits, pa.int64())] * (budget is not None)
                 if prefixes:
                     columns.append(pa.array([own.prefixes(t).tolist() for t in texts], pa.list_(pa.int64())))
+                own.let_go()
                 yield pa.RecordBatch.from_arrays(columns, [*rest.schema.names, *(f.name for f in added)])
                 at += len(texts)
 

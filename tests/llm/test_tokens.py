@@ -44,6 +44,40 @@ def test_encode_equals_the_library(library):
         assert codec.decode(flat[a:b]) == t.encode()
 
 
+ODD_SHAPES = [
+    "def f(x):\n    if x:\n        return  x  # two\n\n\n    return  [x,\t x ]\n" * 40, "漢字かな交じり文" * 300, "語" * 700 + " " + "word " * 50, "x" * 3000 + " y " * 10, " ".join(["of the"] * 400),
+    "z" * 70 + " " + "q" * 300 + "\n  " + "é" * 90,
+]
+
+
+def test_indented_code_and_texts_without_spaces(library, pieces):
+    codec, own = bpe.Codec(RANKS, public_tokenizers.PATTERN), token_counts.PrefixCounter(PIECES)
+    for _ in range(2):
+        flat, counts = codec.encode(ODD_SHAPES)
+        edges = np.concatenate(([0], np.cumsum(counts)))
+        for t, a, b in zip(ODD_SHAPES, edges[:-1], edges[1:], strict=True):
+            assert flat[a:b].tolist() == library.encode_ordinary(t)
+        for t in ODD_SHAPES:
+            assert own.count(t) == len(pieces.encode(t))
+        own.let_go()
+        # What stays in a worker's memory is short.
+        assert max(map(len, {**codec.seen, **codec.seen_pieces})) <= bpe.KEPT and max(map(len, own.seen)) <= token_counts.KEPT
+        assert codec.lengths_of.size == len(codec.seen) + len(codec.seen_pieces) and own.sizes.size == len(own.seen)
+
+
+def test_long_words_have_whole_tables(pieces):
+    own = token_counts.PrefixCounter(PIECES)
+    t = "ab" * 200 + " " + "é漢" * 150 + " the"
+    assert own.prefixes(t).tolist() == [len(pieces.encode(t[:k])) for k in range(len(t) + 1)]
+
+
+def test_a_full_pair_memory_starts_anew(pieces, monkeypatch):
+    monkeypatch.setattr(token_counts, "PAIRS", 20)
+    own = token_counts.PrefixCounter(PIECES)
+    for t in odd_texts(80, 9):
+        assert own.count(t) == len(pieces.encode(t))
+
+
 def test_a_full_memory_starts_anew(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
@@ -73,7 +107,7 @@ def test_budgets_without_encoding_again():
     for t in [*odd_texts(200, 4), "the end of it all " * 30]:
         table = own.prefixes(t)
         for budget in (0, 1, 3, 17, 10_000):
-            k = own.fits(t, budget)
+            k = own.fits(own.numbers([own.words(t)])[0], budget)
             assert table[: k + 1].max() <= budget
             assert k == len(t) or table[k + 1] > budget
 
