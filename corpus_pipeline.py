@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return
 the columns of documents. run() writes each stage's rows as Parquet in the shared folder and reads them again.
+
+Defined results: a null text counts as empty in every stage, and texts of any length are taken whole; null and repeated
+ids are allowed: every stage decides row by row, by the text; of equal texts exactly one row stays, of near copies exactly
+one (of texts without words, which are all alike, one); rows tied in every order are interchangeable; an empty table
+gives an empty result; other columns pass through unread, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, near_join, packing, quality, queries
-from siltstone.llm.common import fresh_name, table, whole_text, written
+from siltstone.llm.common import fresh_name, table, written
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +36,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each row in length buckets and token-budget batches."""
-    return packing.pack(docs, F.octet_length(whole_text()) + 1)
+    """The place of each row in length buckets and token-budget batches; lengths in tokens."""
+    return packing.pack(packing.token_lengths(docs, queries.tokenizer(queries.PIECES)), F.col("length"))
 
 
 STAGES = [("quality", good_quality), ("exact_dedup", without_copies), ("near_dedup", without_near_copies), ("packing", packed)]

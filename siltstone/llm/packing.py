@@ -3,14 +3,17 @@
 The lengths of all documents are counted on a grid (every length up to EXACT, then steps of 1/STEPS of an
 octave: a few thousand cells, whatever the input), with the largest length in each cell. Dynamic programming over
 that histogram chooses, among those largest lengths, the bucket boundaries that minimise padding; every document is
-padded to its bucket's boundary, which is the length of its longest document. A boundary inside a cell isn't tried. Inside each bucket,
-batches take documents up to the token budget.
+padded to its bucket's boundary, which is the length of its longest document. A boundary inside a cell isn't tried:
+raising each boundary of the best choice to its cell's largest length makes it at most 1/STEPS longer, so the padded
+total is at most (1 + 1/STEPS) times the least possible one. Inside each bucket, batches take documents up to the token budget.
 
-A bucket may hold most documents, so batches are formed in shards of a bucket, dealt by a hash of the id and
-sized by the histogram; each shard leaves at most one batch part-filled. Only ids and lengths are shuffled.
+A bucket may hold most documents, so batches are formed in shards of a bucket, dealt by a hash of the id and a
+checksum of the row's length and sized by the histogram; each shard leaves at most one batch part-filled. Only ids and
+lengths are shuffled.
 
-Defined results: a null text has the length of an empty one; a document longer than the budget is a batch of
-its own; repeated rows are packed as rows of their own; an empty table gives an empty result.
+Defined results: a null length is 0 (token_lengths gives a null text 1, its end); a document longer than the budget is a
+batch of its own, whole; repeated rows and null ids are packed as rows of their own; an empty table gives an empty
+result; only the id and the length are read, so other columns' names don't matter.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 EXACT, STEPS = 512, 128
 BUCKETS, BUDGET, SHARD_ROWS = 16, 65_536, 20_000
 
@@ -75,8 +80,16 @@ def pack(docs: DataFrame, length: Column, id_col: str = "doc_id", buckets: int =
     bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("length")))
     of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("bucket") + 1)
     shards = [max(1, math.ceil(h / SHARD_ROWS)) for h in held]
-    placed = counted.withColumn("bucket", bucket).withColumns({"padded_length": of(bounds).cast("long"), "shard": F.pmod(F.xxhash64("doc_id", F.lit("shard")), of(shards))})
+    placed = counted.withColumn("bucket", bucket).withColumns({"padded_length": of(bounds).cast("long"), "shard": F.pmod(F.xxhash64("doc_id", "length", F.lit("shard")), of(shards))})
     rank = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("length", "doc_id")) - 1
     room = of([max(1, budget // max(1, b)) for b in bounds])
     batch = F.concat_ws("-", "bucket", "shard", F.floor(F.col("rank") / F.col("room")))
     return placed.withColumns({"rank": rank, "room": room}).select("doc_id", "length", "bucket", "padded_length", batch.alias("batch"), (F.col("rank") % F.col("room")).cast("int").alias("slot"))
+
+
+def token_lengths(docs: DataFrame, path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, length): the tokens of each whole text under the piece model at path, and one end; written, as both of pack's passes read them."""
+    from . import token_counts
+
+    counted = token_counts.count_tokens(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path)
+    return written(counted.select("doc_id", (F.col("n_tokens") + 1).alias("length")), "lengths")

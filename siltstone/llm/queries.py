@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, exact_dedup, fingerprints, kneser_ney, licenses, near_join, packing, quality, sharding, token_counts
-from .common import table, whole_text
+from .common import table
 
 #: Tokens of the context that op2's over_limit is about.
 CONTEXT = 4096
+PIECES = "piece_bpe_32k.model"
+
+
+def tokenizer(name: str) -> str:
+    """Where a public vocabulary file is; the package that knows is asked for only by the queries that need it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    out = bpe.encode(docs, tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return out.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"), budget=CONTEXT)
+    out = token_counts.count_tokens(docs, tokenizer(PIECES), budget=CONTEXT)
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT).alias("over_limit"), "fits_chars")
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths in byte-level tokens: one for each UTF-8 byte, and one end."""
-    return packing.pack(table(spark, sf_dir, "documents"), F.octet_length(whole_text()) + 1)
+    """Lengths in tokens: those that op2 counts, and one end."""
+    return packing.pack(packing.token_lengths(table(spark, sf_dir, "documents"), tokenizer(PIECES)), F.col("length"))
 
 
 def op4_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
