@@ -56,8 +56,8 @@ def test_shards_hold_equal_counts(hard, nothing, spark):
 
 
 def test_slack_keeps_most_rows_in_place_when_a_shard_is_added():
-    counts = {u: 3 for u in range(0, sharding.UNITS, 7)}
-    where = lambda shards: {(u, k): s for u, a, b, s, _ in sharding.place(counts, shards, slack=0.25) for k in range(a, b)}
+    counts = {(u, 0): 3 for u in range(0, sharding.PLACES, 7)}
+    where = lambda shards: {(u, c, k): s for u, c, a, b, s, _ in sharding.place(counts, shards, slack=0.25) for k in range(a, b)}
     before, after = where(16), where(17)
     assert before.keys() == after.keys()
     load = Counter(before.values())
@@ -65,6 +65,26 @@ def test_slack_keeps_most_rows_in_place_when_a_shard_is_added():
     assert sum(before[k] != after[k] for k in before) < 0.35 * len(before)
 
 
+def test_equal_texts_share_a_shard_but_at_its_end(spark):
+    rows = [(k, f"text {k % 700}") for k in range(2100)]
+    shards = defaultdict(set)
+    for r in sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        shards[r.text_crc32].add(r.shard)
+    assert len(shards) == 700 and sum(len(s) == 1 for s in shards.values()) >= 0.85 * 700
+
+
+def test_grid_costs_at_most_its_step(spark):
+    from pyspark.sql import functions as F
+
+    rnd = np.random.default_rng(5)
+    for low, high in ((1, 60_000), (513, 700), (4000, 4100)):
+        sizes = rnd.integers(low, high, 400)
+        exact = packing.best_boundaries(*np.unique(sizes, return_counts=True), 4)
+        least = sum(exact[np.searchsorted(exact, n)] for n in sizes)
+        rows = packing.pack(spark.createDataFrame([(k, int(n)) for k, n in enumerate(sizes)], "doc_id long, size long"), F.col("size"), buckets=4)
+        assert least <= rows.agg(F.sum("padded_length")).first()[0] <= least * (1 + 1 / packing.STEPS)
+
+
 def test_best_boundaries_are_optimal():
     rnd = np.random.default_rng(3)
     for _ in range(30):
