@@ -1,16 +1,20 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A fingerprint holds every shingle hash below a fixed fraction of the hash range, so it grows with its
-document and two documents' fingerprints merge by union. Short documents would keep almost nothing; so
-the FLOOR smallest hashes are kept in any case. Two fingerprints are compared below the smaller of their
+document and two documents' fingerprints merge by union. A short document would keep almost nothing; so
+the FLOOR smallest hashes are kept in any case, which decides for documents of fewer than FLOOR / FRACTION (128)
+shingles, and makes those of up to FLOOR complete. Two fingerprints are compared below the smaller of their
 thresholds, where both are complete: the share of common hashes there estimates resemblance, and over the
-smaller of the two sides, containment, also between very unequal documents.
+smaller of the two sides, containment, also between very unequal documents. With k hashes in the smaller side an
+estimate of p has a standard error of sqrt(p (1 - p) / k); k is FRACTION of the shingles, or about FLOOR.
 
 A fingerprint is a string: the retained 32-bit hashes in ascending order, 8 hexadecimal digits each.
 
-Defined results: a null text is the empty text; a text without words has the empty fingerprint, equal to
-another empty one (likeness 1) and unlike any other (0); of rows with the same id the text decides the
-order; null ids come first; an empty table gives an empty result.
+Defined results: a null text is the empty text; texts of any length are read whole; a text without words has the empty
+fingerprint, equal to another empty one (likeness 1) and unlike any other (0); repeated rows have equal
+fingerprints; an empty table gives an empty result. compare_with_next: ids of any type that sorts; of rows with the
+same id the text decides the order; null ids come first, in the order of their texts' hashes; only the id and the text
+are read. fingerprint: other columns pass through, and the operator's own takes the place of one of the same name.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import types as T
 from .common import making_room, ship, shuffle_partitions, whole_text
 from .kernels import WordHasher, edges_of, shingle_hashes
 
-SHINGLE, FRACTION, FLOOR = 5, 1 / 8, 32
+SHINGLE, FRACTION, FLOOR = 5, 1 / 4, 32
 #: White space parts words.
 SPACES = b" \t\n\x0b\x0c\r"
 _hashers: dict[bytes, WordHasher] = {}
@@ -104,41 +108,64 @@ def fingerprint(df: DataFrame, text_col: str = "text", name: str = "fingerprint"
     return df.mapInArrow(kernel, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 
 
-def _part_of(key: Column, splitters: list[int]) -> Column:
+def _part_of(key: Column, splitters: list[Column]) -> Column:
     """How many splitters are <= key, found in two steps of about the square root of their number."""
     if not splitters:
         return F.lit(0)
     step = math.isqrt(len(splitters)) + 1
     fine = [splitters[k : k + step] for k in range(0, len(splitters), step)]
-    text = ", ".join("array(" + ", ".join(f"{x}L" for x in xs) + ")" for xs in fine)
     upto = lambda xs: F.size(F.filter(xs, lambda s: s <= key))
-    block = upto(F.expr("array(" + ", ".join(f"{xs[0]}L" for xs in fine) + ")"))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + upto(F.element_at(F.expr(f"array({text})"), F.greatest(block, F.lit(1))))).cast("int")
+    block = upto(F.array(*[xs[0] for xs in fine]))
+    held = F.array(*[F.array(*xs) for xs in fine])
+    return F.when(block == 0, 0).otherwise((block - 1) * step + upto(F.element_at(held, F.greatest(block, F.lit(1))))).cast("int")
+
+
+#: Ids in the sample that splitters are taken from, for each partition, where quantiles of the ids can't be had.
+SAMPLED = 100
+
+
+def _splitters(rows: DataFrame, parts: int) -> tuple[list[Column], int]:
+    """(splitters of the ids that aren't null, partitions for those that are), shares of `parts` by number of rows."""
+    kind = rows.schema["doc_id"].dataType
+    whole = isinstance(kind, T.IntegralType)
+    shares = [k / parts for k in range(1, parts)]
+    asked = [F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("known")]
+    told = rows.agg(*asked, *[F.percentile_approx("doc_id", shares, 100 * parts).alias("q")] * (whole and bool(shares))).first()
+    empty = -(-parts * (told["n"] - told["known"]) // max(1, told["n"]))
+    if whole:
+        found = sorted(set(told["q"] or [])) if shares else []
+    else:  # a sample by hash, sorted as Spark sorts
+        some = rows.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLED * parts).orderBy("doc_id").collect()
+        found = [*dict.fromkeys(some[len(some) * k // parts][0] for k in range(1, parts))] if some else []
+    return [F.lit(x).cast(kind) for x in found], empty
 
 
 def with_next(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, text, halo) in range partitions by id, sorted; each partition ends with a copy (halo 1) of the row that follows its last.
 
-    Splitters are quantiles of the ids, one partition each, so the rows pass through one shuffle and no
-    task sees more than its share; after the last row comes the first.
+    Splitters are quantiles of the ids, one partition each, and null ids have partitions by their texts' hashes, so
+    the rows pass through one shuffle and no task sees more than its share; after the last row comes the first.
     """
     parts = shuffle_partitions(docs.sparkSession)
-    least = -(2**63) + 1
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(least))
-    rows = docs.select(key.alias("key"), F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
-    shares = [k / parts for k in range(1, parts)]
-    found = rows.agg(F.percentile_approx("key", shares, 100 * parts).alias("q")).first()["q"] if shares else None
-    rows = rows.withColumn("part", _part_of(F.col("key"), sorted({int(x) for x in found or []})))
-    heads = sorted((r["part"], r["head"]) for r in rows.groupBy("part").agg(F.min("key").alias("head")).collect())  # one row a partition
+    text = whole_text(text_col)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(id_col).isNull(), F.xxhash64(text)).alias("hash"), text.alias("text"))
+    splitters, empty = _splitters(rows, parts)
+    # Hashes in equal ranges: the sign bit moves the least to 0.
+    by_hash = F.floor((F.col("hash").cast("double") / 2.0**64 + 0.5) * max(1, empty))
+    by_hash = F.least(by_hash.cast("int"), F.lit(max(1, empty) - 1))
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), by_hash).otherwise(_part_of(F.col("doc_id"), splitters) + empty))
+    heads = rows.groupBy("part").agg(F.min("doc_id").alias("id"), F.min("hash").alias("hash")).orderBy("part").collect()  # one row a partition
     if not heads:
         return rows.select("doc_id", "text", F.lit(0).alias("halo"))
-    used = [p for p, _ in heads]
+    used = [r["part"] for r in heads]
     before = {p: used[k - 1] for k, p in enumerate(used)}
     back = F.element_at(F.array(*[F.lit(before.get(p, 0)) for p in range(max(used) + 1)]), F.col("part") + 1)
-    self_only = F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("halo")))
-    copies = F.when(F.col("key").isin([h for _, h in heads]), F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("halo")), F.struct(back.alias("part"), F.lit(1).alias("halo")))).otherwise(self_only)
-    spread = rows.withColumn("to", F.explode(copies)).select(F.col("to.part").alias("part"), F.col("to.halo").alias("halo"), "key", "doc_id", "text")
-    return spread.repartitionById(max(used) + 1, F.col("part")).sortWithinPartitions("part", "halo", "key", "text").select("doc_id", "text", "halo")
+    kind = docs.schema[id_col].dataType
+    first = F.col("doc_id").isin([F.lit(r["id"]).cast(kind) for r in heads if r["id"] is not None]) | F.coalesce(F.col("hash").isin([r["hash"] for r in heads if r["hash"] is not None]), F.lit(False))
+    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("halo"))
+    copies = F.when(F.coalesce(first, F.lit(False)), F.array(own, F.struct(back.alias("part"), F.lit(1).alias("halo")))).otherwise(F.array(own))
+    spread = rows.withColumn("to", F.explode(copies)).select(F.col("to.part").alias("part"), F.col("to.halo").alias("halo"), "doc_id", "hash", "text")
+    return spread.repartitionById(max(used) + 1, F.col("part")).sortWithinPartitions("part", "halo", "doc_id", "hash", "text").select("doc_id", "text", "halo")
 
 
 def _head_bytes(text: bytes, chars: int) -> int:

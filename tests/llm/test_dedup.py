@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 
-from siltstone.llm import exact_dedup, fingerprints, near_join, packing, sharding
+from siltstone.llm import exact_dedup, fingerprints, kernels, near_join, packing, sharding
 from siltstone.llm.components import components
 
 
@@ -268,6 +269,59 @@ def test_fingerprints_of_edited_texts(unique, nothing, hard):
     assert fingerprints.fingerprint(hard, name="score").columns == ["doc_id", "text", "lang", "source", "n_chars", "labels", "ids", "score"]
 
 
+def python_sketch(text, fraction=fingerprints.FRACTION, floor=fingerprints.FLOOR):
+    """The retained hashes of one text, by the definition, from hashes of single words."""
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", words) if w]
+    one = fingerprints.hasher(fingerprints.SPACES)
+    mixed, step, most = lambda x: int(kernels.mix(np.array([x % 2**64], np.uint64))[0]), 0x9E3779B97F4A7C15, 2**64
+    hashes = {w: int(one(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))[0][0]) for w in set(words)}
+    found = set()
+    for k in range(max(1, len(words) - 4) if words else 0):
+        some = words[k : k + 5]
+        h = len(some)
+        for w in some:
+            h = mixed((h * step + hashes[w]) % most)
+        found.add(h >> 32)
+    ordered = sorted(found)
+    return ordered[: max(floor, sum(h < int(fraction * 2**32) for h in ordered))]
+
+
+def test_fingerprints_equal_the_definition(unique):
+    for r in fingerprints.compare_with_next(unique).collect():
+        t = unique.filter(f"doc_id = {r.doc_id}").first().text if r.doc_id % 9 == 0 else False
+        if t is not False and len(t or "") < 5000:
+            assert fingerprints.from_text(r.fingerprint).tolist() == python_sketch(t)
+
+
+def test_any_ids_and_many_null_ids(spark):
+    texts = [f"w{k} " * (k % 7 + 1) for k in range(300)]
+    by_name = [(f"doc-{k * 37 % 300:03}", t) for k, t in enumerate(texts)]
+    got = {r.doc_id: r.edited_sha256 for r in fingerprints.compare_with_next(spark.createDataFrame(by_name, "doc_id string, text string").repartition(3)).collect()}
+    rows = sorted(by_name)
+    for k, (i, t) in enumerate(rows):
+        half = len(t) // 2
+        assert got[i] == hashlib.sha256((t[: len(t) - half] + rows[(k + 1) % 300][1][:half]).encode()).hexdigest()
+    some = spark.createDataFrame([(None if k % 3 else k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    placed = fingerprints.with_next(some).selectExpr("doc_id", "halo", "spark_partition_id() as p").filter("halo = 0")
+    assert placed.count() == 300 and placed.filter("doc_id is null").select("p").distinct().count() >= 2
+    assert fingerprints.compare_with_next(some).count() == 300
+
+
+def test_likeness_errors_are_as_stated(spark):
+    """Containment against the true shingle sets, within four standard errors and the floor's few hashes."""
+    rnd = random.Random(3)
+    for n in (20, 90, 400, 3000):
+        for share in (0.0, 0.3, 0.8, 1.0):
+            words = [f"w{rnd.randrange(10**9)}" for _ in range(n)]
+            other = words[: int(n * share)] + [f"v{rnd.randrange(10**9)}" for _ in range(n - int(n * share))]
+            a, b = shingles(" ".join(words)), shingles(" ".join(other))
+            x, y = fingerprints.sketches([" ".join(words).encode(), " ".join(other).encode()])
+            true = len(a & b) / min(len(a), len(b))
+            k = max(min(n, fingerprints.FLOOR), n * fingerprints.FRACTION)
+            assert abs(fingerprints.likeness(x, y)[0] - true) <= 4 * (true * (1 - true) / k) ** 0.5 + 1e-9
+
+
 def test_sketches_merge():
     a, b = (" ".join(f"w{k}" for k in range(n, n + 3000)).encode() for n in (0, 2900))
     x, y = fingerprints.sketches([a, b])
