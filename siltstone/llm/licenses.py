@@ -1,21 +1,25 @@
 """License scans with a positional index of rare licence words.
 
 Each licence notice is a template: its words with their positions, and a key phrase that has to be there. The
-document frequency of every template word is counted over all documents; a template's rarest words
-(highest IDF) are its anchors. In each document the anchors' places are looked up in the postings
-(template, position); places that agree in document position minus template position line up, and the
-IDF of what lines up, over the IDF of all the template's anchors, is the score. A template whose share
-reaches SHARE is verified: its key phrase must stand, word by word, where the alignment says.
+document frequency of every template word is counted over all documents, and the index has the places of each
+template's INDEXED words of highest IDF. In each document, the ANCHORS indexed words of highest IDF that the document
+holds are looked up for each template (a rare word that was changed makes room for the next one); places that agree in
+document position minus template position line up, and the IDF of what lines up, over the IDF of the template's
+ANCHORS rarest words, is the alignment's share. Where it reaches SHARE the key phrase must stand, word by word, where the
+alignment says; score and best come from alignments that were verified in this way, and are 0 and null without any.
 
 Everything is row by row in built-in array functions; only the template words' document frequencies (a fixed
-vocabulary) reach the driver. Work per document is its words plus a sort of its anchors' places.
+vocabulary) reach the driver. Work per document is its words, plus a sort of its anchors' places and one fold over
+them of constant state. Documents without an indexed word skip the fold.
 
-Defined results: a null text has no words; repeated rows and null ids are rows of their own; an empty table
-gives an empty result; other columns pass through, and a clash of names is an error.
+Defined results: a null text has no words; texts of any length are read whole; repeated rows and null ids are rows of
+their own; of templates with equal shares the first is `best`; an empty table gives an empty result; other columns pass
+through, and the operator's own take the place of columns of the same name.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -26,7 +30,7 @@ from pyspark.sql import types as T
 from .common import fresh_name, making_room, whole_text
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANCHORS, SHARE = 6, 0.6
+ANCHORS, INDEXED, SHARE = 6, 12, 0.6
 #: The phrases whose places are counted, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 #: Sentences of public licence notices (label, notice, key phrase within it).
@@ -52,6 +56,21 @@ NOTICES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "use copy modify and or distribute this software for any purpose"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
     ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "see the gnu general public license"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program if not see", "copy of the gnu general public license"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library if not see", "copy of the gnu lesser general public license"),
+    ("agpl", "you should have received a copy of the gnu affero general public license along with this program if not see", "copy of the gnu affero general public license"),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache license version 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "distributed on an as is basis"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies or substantial portions"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistributions of source code must retain the above copyright notice"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    ("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "a copy of the mpl was not distributed with this file"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "dedicated the work to the public domain"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable for any damages"),
 ]
 
 
@@ -90,20 +109,24 @@ def scan(docs: DataFrame, text_col: str = "text", notices: list[tuple[str, str,
     """docs without the text, with n_words, n_base, first_word, last_word, base_labels, labels, score and best (the aligned template's label)."""
     known = templates(notices)
     idf = inverse_frequencies(docs, text_col, {w for t in known for w in t.words})
-    postings: dict[str, list[tuple[int, int, float]]] = {}
+    label_names = sorted({t.label for t in known})
+    if len(label_names) > 62:
+        raise ValueError("at most 62 different labels fit the fold's state")
+    # Of each template: its rare words, rarest first, each with its places in the template and its IDF's share.
+    lookups = []
     for k, t in enumerate(known):
-        rare = sorted(range(len(t.words)), key=lambda i, t=t: (-idf[t.words[i]], i))[:ANCHORS]
-        whole = sum(idf[t.words[i]] for i in rare) or 1.0
-        for i in rare:
-            postings.setdefault(t.words[i], []).append((k, i, idf[t.words[i]] / whole))
+        rare = sorted(dict.fromkeys(t.words), key=lambda w: (-idf[w], t.words.index(w)))[:INDEXED]
+        whole = sum(idf[w] for w in rare[:ANCHORS]) or 1.0
+        lookups.append((k, [(w, [i for i, x in enumerate(t.words) if x == w], idf[w] / whole) for w in rare]))
     phrases = [(p.split(), label) for p, label in base.items()]
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "best"]
     docs = making_room(docs, added, keep=(text_col,))
     kept = [f"`{c}`" for c in docs.columns if c != text_col]
-    n = {k: fresh_name(docs, k) for k in ("words", "places", "starts", "lined", "sums", "good")}
+    n = {k: fresh_name(docs, k) for k in ("words", "places", "held", "starts", "lined", "sums")}
     words = F.col(n["words"])
     word = lambda i: F.get(words, i)
-    seek = sorted({*postings, *(p[0] for p, _ in phrases)})
+    indexed = sorted({w for _, ws in lookups for w, _, _ in ws})
+    seek = sorted({*indexed, *(p[0] for p, _ in phrases)})
     places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: word(i).isin(seek))
     stands = lambda phrase, i: F.slice(words, i + 1, len(phrase)) == F.array(*map(F.lit, phrase))
 
@@ -113,39 +136,53 @@ def scan(docs: DataFrame, text_col: str = "text", notices: list[tuple[str, str,
 
     # Places of the base phrases: (start, number of the phrase).
     starts = F.flatten(F.array(*[places_of(k, p) for k, (p, _) in enumerate(phrases)]))
-    posting = F.create_map(*[x for w, hits in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(i).alias("i"), F.lit(s).alias("s")) for k, i, s in hits]))])
+    held = F.array_distinct(F.transform(F.col(n["places"]), word))
+
+    def literal(value: str, kind: str) -> Column:
+        return F.from_json(F.lit(value), kind)
+
+    # The document's rarest words of each template, as (word, template, place in it, share).
+    table = json.dumps([[{"w": w, "t": k, "at": at, "s": s} for w, at, s in ws] for k, ws in lookups])
+    rarest = F.transform(
+        literal(table, "array<array<struct<w:string,t:int,at:array<int>,s:double>>>"), lambda ws: F.slice(F.filter(ws, lambda x: F.array_contains(F.col(n["held"]), x["w"])), 1, ANCHORS))
+    # Places of each such word in the document, against its places in the template.
+    by_word = F.flatten(rarest)
     lined = F.array_sort(F.flatten(F.transform(
-        F.filter(F.col(n["places"]), lambda i: word(i).isin(sorted(postings))),
-        lambda i: F.transform(F.element_at(posting, word(i)), lambda h: F.struct(h["t"].alias("t"), (i - h["i"]).alias("at"), h["s"].alias("s"))),
+        by_word,
+        lambda x: F.flatten(F.transform(F.filter(F.col(n["places"]), lambda i: word(i) == x["w"]), lambda i: F.transform(x["at"], lambda p: F.struct(x["t"].alias("t"), (i - p).alias("at"), x["s"].alias("s"))))),
     )))
-    state = "struct<t:int,at:int,s:double,best:double,best_t:int,good:array<struct<t:int,at:int>>>"
-    start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("s"), F.lit(0.0).alias("best"), F.lit(-1).alias("best_t"), F.array().cast("array<struct<t:int,at:int>>").alias("good")).cast(state)
+    state = "struct<t:int,at:int,s:double,ok:boolean,best:double,best_t:int,mask:bigint>"
+    start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("s"), F.lit(False).alias("ok"), F.lit(0.0).alias("best"), F.lit(-1).alias("best_t"), F.lit(0).cast("long").alias("mask")).cast(state)
+    keys = F.array(*[F.struct(F.lit(t.key_at).alias("at"), F.array(*map(F.lit, t.key)).alias("key")) for t in known])
+    bits = F.array(*[F.lit(1 << label_names.index(t.label)).cast("long") for t in known])
+
+    def verified(t: Column, at: Column) -> Column:
+        key = F.get(keys, t)
+        first = at + key["at"]
+        return (first >= 0) & (F.slice(words, F.greatest(first, F.lit(0)) + 1, F.size(key["key"])) == key["key"])
 
     def add(acc: Column, h: Column) -> Column:
         same = (acc["t"] == h["t"]) & (acc["at"] == h["at"])
         total = F.when(same, acc["s"]).otherwise(0.0) + h["s"]
-        passes = (total >= SHARE) & ~(same & (acc["s"] >= SHARE))
+        # The key phrase is looked at once, when the alignment's share passes.
+        passes = (total >= SHARE - 1e-9) & ~(same & (acc["s"] >= SHARE - 1e-9))
+        ok = F.when(passes, verified(h["t"], h["at"])).otherwise(same & acc["ok"])
+        better = ok & (total > acc["best"] + 1e-12)
         return F.struct(
-            h["t"].alias("t"), h["at"].alias("at"), total.alias("s"), F.greatest(acc["best"], total).alias("best"), F.when(total > acc["best"], h["t"]).otherwise(acc["best_t"]).alias("best_t"),
-            F.when(passes, F.concat(acc["good"], F.array(F.struct(h["t"].alias("t"), h["at"].alias("at"))))).otherwise(acc["good"]).alias("good"),
+            h["t"].alias("t"), h["at"].alias("at"), total.alias("s"), ok.alias("ok"), F.when(better, total).otherwise(acc["best"]).alias("best"), F.when(better, h["t"]).otherwise(acc["best_t"]).alias("best_t"),
+            F.when(ok, acc["mask"].bitwiseOR(F.get(bits, h["t"]))).otherwise(acc["mask"]).alias("mask"),
         ).cast(state)
 
-    keys = F.array(*[F.struct(F.lit(t.key_at).alias("at"), F.array(*map(F.lit, t.key)).alias("key")) for t in known])
-    labels_of = F.array(*[F.lit(t.label) for t in known])
-
-    def verified(g: Column) -> Column:
-        key = F.get(keys, g["t"])
-        at = g["at"] + key["at"]
-        return (at >= 0) & (F.slice(words, F.greatest(at, F.lit(0)) + 1, F.size(key["key"])) == key["key"])
-
     sums = F.col(n["sums"])
     base_list = F.array_distinct(F.transform(F.col(n["starts"]), lambda s: F.get(F.array(*[F.lit(label) for _, label in phrases]), s["phrase"])))
-    own = F.array_distinct(F.transform(F.filter(sums["good"], verified), lambda g: F.get(labels_of, g["t"])))
+    numbered = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(1 << k).cast("long").alias("bit")) for k, label in enumerate(label_names)])
+    own = F.transform(F.filter(numbered, lambda x: sums["mask"].bitwiseAND(x["bit"]) != 0), lambda x: x["label"])
     out = docs.withColumn(n["words"], words_of(whole_text(text_col))).withColumn(n["places"], places)
-    out = out.withColumns({n["starts"]: starts, n["lined"]: lined}).withColumn(n["sums"], F.aggregate(n["lined"], start, add))
+    out = out.withColumns({n["starts"]: starts, n["held"]: held}).withColumn(n["lined"], lined).withColumn(n["sums"], F.aggregate(n["lined"], start, add))
     at = F.transform(F.col(n["starts"]), lambda s: s["at"])
+    names = F.array(*[F.lit(t.label) for t in known])
     return out.select(
         *kept, F.size(words).cast("long").alias("n_words"), F.size(F.col(n["starts"])).cast("long").alias("n_base"), F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
         F.array_join(F.array_sort(base_list), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union(base_list, own)), ",").alias("labels"),
-        F.least(F.lit(1.0), F.round(sums["best"], 9)).alias("score"), F.get(labels_of, F.when(sums["best_t"] >= 0, sums["best_t"])).alias("best"),
+        F.least(F.lit(1.0), F.round(sums["best"], 9)).alias("score"), F.get(names, F.when(sums["best_t"] >= 0, sums["best_t"])).alias("best"),
     )

@@ -179,6 +179,46 @@ def test_license_scan(spark, hard, nothing):
     assert set(licenses.scan(hard).columns) >= {"doc_id", "lang", "labels", "score"}
 
 
+def brute_licenses(rows, notices=licenses.NOTICES):
+    """(doc_id, labels of verified alignments, best share) by trying every alignment of every template."""
+    low = lambda t: re.findall(licenses.WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    texts, known = [(r.doc_id, low(r.text)) for r in rows], licenses.templates(notices)
+    idf = {w: math.log((len(texts) + 1) / (sum(w in t for _, t in texts) + 0.5)) for k in known for w in k.words}
+    for i, words in texts:
+        found, best = set(), 0.0
+        for k in known:
+            rare = sorted(dict.fromkeys(k.words), key=lambda w, k=k: (-idf[w], k.words.index(w)))[: licenses.INDEXED]
+            whole = sum(idf[w] for w in rare[: licenses.ANCHORS])
+            anchors = [w for w in rare if w in words][: licenses.ANCHORS]
+            for at in range(-len(k.words), len(words)):
+                share = sum(idf[w] / whole for p, w in enumerate(k.words) if w in anchors and 0 <= at + p < len(words) and words[at + p] == w)
+                first = at + k.key_at
+                if share >= licenses.SHARE - 1e-9 and first >= 0 and tuple(words[first : first + len(k.key)]) == k.key:
+                    found.add(k.label)
+                    best = max(best, share)
+        yield i, ",".join(sorted(found)), min(1.0, best)
+
+
+def test_license_alignments_equal_brute_force(spark):
+    rnd = random.Random(8)
+    filler = "the of and to a in software use copy any this work public version terms is".split()
+    rows = [(0, None), (1, "")]
+    for k in range(2, 120):
+        words = [rnd.choice(filler) for _ in range(rnd.randrange(0, 30))]
+        for _, notice, _ in rnd.sample(licenses.NOTICES, rnd.randrange(0, 3)):
+            some = notice.split()
+            for _ in range(rnd.randrange(0, 4)):
+                some[rnd.randrange(len(some))] = rnd.choice(["other", "the", "software"])
+            words += some + [rnd.choice(filler) for _ in range(rnd.randrange(0, 9))]
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = {r.doc_id: set(filter(None, r.base_labels.split(","))) for r in licenses.scan(docs).collect()}
+    got = {r.doc_id: (r.labels, r.score, r.best) for r in licenses.scan(docs).collect()}
+    for i, labels, best in brute_licenses(docs.collect()):
+        assert got[i][0] == ",".join(sorted(base[i] | set(filter(None, labels.split(","))))), i
+        assert math.isclose(got[i][1], best, abs_tol=1e-8) and (got[i][2] is None) == (best == 0), i
+
+
 def test_pipeline_stages(spark, judged, hard, tmp_path):
     import corpus_pipeline
 
