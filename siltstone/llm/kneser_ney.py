@@ -1,6 +1,6 @@
 """Language-model scoring with an interpolated modified Kneser-Ney model of any order from 2.
 
-Counting. Words are hashed to 48 bits; each task counts its n-grams of the highest order in numpy and sends one
+Counting. Words are hashed to 64 bits (among 10^9 distinct words the odds of one collision are about 1 in 40); each task counts its n-grams of the highest order in numpy and sends one
 packed block to each shard of the hash space; a shard merges its blocks. An n-gram's shard is chosen by its words
 but the last and a part of the last, so that no frequent context fills a shard alone. One more exchange of the same kind for each lower order brings each
 shorter n-gram's own numbers together: in how many contexts it occurs and, as a context, its followers by count;
@@ -9,20 +9,23 @@ the last one does so for words.
 Model. Every shard is sorted hash arrays (words; n-grams of each order) in files of the shared folder. Workers map them
 into memory and look up whole batches of distinct hashes at once; pages are shared and evicted by the
 system, so a worker's own memory stays small however large the model is. The shared folder must be mounted
-as files on all workers (its address starts with file: or is a path); the number of shards follows the
-shuffle partitions.
+as files on all workers (its address starts with file: or is a path). There are as many shards as shuffle
+partitions, or more where the text has more than SHARD_BYTES for each, so a shard's n-grams fit one task's memory.
+Counts take a byte each; those of 255 and more stand beside them, whole, with their places.
 
 Counts. The highest order has plain counts; lower ones count the distinct words before, but n-grams that begin with
 the start context, which nothing precedes, keep their plain counts.
 
 Discounts are those of Chen and Goodman: D1, D2, D3+ from the numbers of n-grams of count 1 to 4, for
-each order by its own counts and for words by the numbers of their contexts. Words interpolate with an even share for
-each known word and one for all unknown ones.
+each order by its own counts and for words by the numbers of their contexts; in an order where one of those four
+numbers is 0 (small or odd corpora), they are undefined, and 0.5, 1 and 1.5 stand in. Words interpolate with an even
+share for each known word and one for all unknown ones.
 
 Tokens: with A-Z lower-cased, words are runs of other than space and \\t to \\r; each text ends with one end token
 and starts in a start context. Defined results: a null text is the empty text, of one token; without
-training text every probability is 1; repeated rows count as often as they stand there; an empty table gives
-an empty result.
+training text every probability is 1; texts of any length are counted and scored whole, and a slice's arrays grow
+with its longest text; repeated rows and null ids count as often as they stand there; an empty table gives an empty
+result; other columns pass through, and the operator's own take the place of columns of the same name.
 """
 
 from __future__ import annotations
@@ -40,20 +43,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import making_room, shared_dir, ship, shuffle_partitions, whole_text, written
+from .common import discard, making_room, shared_dir, ship, shuffle_partitions, whole_text, written
 from .fingerprints import SPACES, hasher
 from .kernels import edges_of, in_slices, mix
 
-#: Words are told apart by so many bits of their hashes; six bytes each in blocks.
-BITS = 48
-_MASK = np.uint64(2**BITS - 1)
 END, START = np.uint64(0x5B1E3C7D2A01), np.uint64(0xFFEE12345677)
 #: Stands before the start, where a context is shorter than the order asks for.
 PAD = np.uint64(0xFFEE12345678)
 #: Parts that the followers of one word are split into.
 SPLIT = 16
-#: Tokens that a task counts before it sends blocks.
-HELD = 4_000_000
+#: Tokens that a task counts before it sends blocks, and bytes of text for each shard at most.
+HELD, SHARD_BYTES = 4_000_000, 32 << 20
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +61,6 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edges = edges_of(np.fromiter(map(len, texts), np.int64, len(texts)))
     words, parts = hasher(SPACES)(np.frombuffer(b"".join(texts), np.uint8), edges, lower=True)
     out = np.full(len(words) + len(texts), END)
-    words = words & _MASK
     out_edges = parts + np.arange(len(texts) + 1)
     inside = np.ones(len(out), bool)
     inside[out_edges[1:] - 1] = False
@@ -91,7 +90,7 @@ def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
 
 
 def pair_shard(u: np.ndarray, v: np.ndarray, shards: int) -> np.ndarray:
-    return shard_of(mix(u + (v >> np.uint64(BITS - 4)) * np.uint64(0xA24BAED4963EE407)), shards)
+    return shard_of(mix(u + (v >> np.uint64(60)) * np.uint64(0xA24BAED4963EE407)), shards)
 
 
 def gram_key(words: list[np.ndarray]) -> np.ndarray:
@@ -106,9 +105,9 @@ def gram_shard(words: list[np.ndarray], shards: int) -> np.ndarray:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as bytes; word hashes (uint64) take six bytes each."""
+    """Arrays as bytes."""
     head = np.array([len(arrays), *[x for a in arrays for x in (len(a), np.dtype(a.dtype).num)]], np.int64)
-    return head.tobytes() + b"".join(a.view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes() if a.dtype == np.uint64 else a.tobytes() for a in map(np.ascontiguousarray, arrays))
+    return head.tobytes() + b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
 
 
 _TYPES = {np.dtype(t).num: np.dtype(t) for t in (np.uint64, np.uint32, np.uint16, np.uint8, np.int64, np.float64)}
@@ -120,14 +119,8 @@ def unpack(block: bytes) -> list[np.ndarray]:
     at, out = 8 + 16 * n, []
     for k in range(n):
         kind, size = _TYPES[int(head[2 * k + 1])], int(head[2 * k])
-        if kind == np.uint64:
-            wide = np.zeros((size, 8), np.uint8)
-            wide[:, : BITS // 8] = np.frombuffer(block, np.uint8, size * (BITS // 8), at).reshape(size, BITS // 8)
-            out.append(wide.view(np.uint64).ravel())
-            at += size * (BITS // 8)
-        else:
-            out.append(np.frombuffer(block, kind, size, at))
-            at += size * kind.itemsize
+        out.append(np.frombuffer(block, kind, size, at))
+        at += size * kind.itemsize
     return out
 
 
@@ -147,6 +140,14 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(path, os.path.join(folder, f"{name}.npy"))
 
 
+def _save_numbers(folder: str, name: str, numbers: np.ndarray) -> None:
+    """Counts (rows, columns): a byte each, and the places and values of those of 255 and more."""
+    flat = numbers.ravel()
+    places = np.flatnonzero(flat >= 255)
+    _save(folder, f"more{name}", np.stack((places, flat[places]), 0).astype(np.int64))
+    _save(folder, f"counts{name}", np.minimum(numbers, 255).astype(np.uint8))
+
+
 def _by_shard(shard: np.ndarray, shards: int, *arrays: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
     shard = shard.astype(np.uint16) if shards <= 2**16 else shard
     order = np.argsort(shard, kind="stable")
@@ -189,9 +190,9 @@ def _batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
 
 
 def _tight(a: np.ndarray) -> np.ndarray:
-    """Numbers in as few bytes as the largest needs, up to four."""
+    """Numbers in as few bytes as the largest needs."""
     most = int(a.max()) if a.size else 0
-    return np.minimum(a, 2**32 - 1).astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32)
+    return a.astype(np.uint8 if most < 2**8 else np.uint16 if most < 2**16 else np.uint32 if most < 2**32 else np.uint64)
 
 
 def _counts(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,7 +225,8 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> NGrams:
         raise ValueError("order must be at least 2")
     spark = docs.sparkSession
     ship(spark)
-    shards, folder = shuffle_partitions(spark), local_folder(spark)
+    size = docs.select(F.octet_length(whole_text(text_col)).alias("n")).agg(F.sum("n")).first()[0] or 0
+    shards, folder = max(shuffle_partitions(spark), -(-size // SHARD_BYTES)), local_folder(spark)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -235,7 +237,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> NGrams:
             vocabulary, at = np.unique(hashes, return_inverse=True)
             counts = np.bincount(at, minlength=len(vocabulary))
             for k, (h, c) in _by_shard(shard_of(mix(vocabulary), shards), shards, vocabulary, counts):
-                yield _batch([(k, "w", pack(h, c.astype(np.uint32), *[np.zeros(0, np.uint32)] * 5))])
+                yield _batch([(k, "w", pack(h, _tight(c), *[np.zeros(0, np.uint8)] * 5))])
             # Tokens in the order of their hashes: an n-gram is the place of its beginning among such and of its last
             # word, which is one number, and sorting those sorts the n-grams.
             wide, size = np.concatenate((vocabulary, np.array([START, PAD]))), np.uint64(len(vocabulary) + 2)
@@ -290,14 +292,14 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> NGrams:
             whole = words[0] != PAD
             numbers = [n]
             if level < order:
-                c, sums = _summed(np.concatenate([t[0] for t in told]).view(np.uint64), [np.concatenate([_counted(*t[j : j + 2]) for t in told]) for j in range(1, 9, 2)]) if told else (key[:0], [n[:0]] * 4)
+                c, sums = _summed(np.concatenate([t[0] for t in told]), [np.concatenate([_counted(*t[j : j + 2]) for t in told]) for j in range(1, 9, 2)]) if told else (key[:0], [n[:0]] * 4)
                 at = np.searchsorted(key, c)
                 for x in sums:
                     full = np.zeros(len(key), np.int64)
                     full[at] = x
                     numbers.append(full)
             _save(folder, f"gram{level}-{shard}", key[whole])
-            _save(folder, f"counts{level}-{shard}", _tight(np.stack(numbers, 1)[whole]))
+            _save_numbers(folder, f"{level}-{shard}", np.stack(numbers, 1)[whole])
             yield _batch([(0, f"n{level}", np.bincount(np.minimum(n[whole], 5), minlength=6).astype(np.int64).tobytes())])
             del key, numbers
             zero, values = 0 * n, (n == 1, n == 2, n > 2, n)
@@ -305,7 +307,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> NGrams:
                 # What this shard knows of each word: contexts it follows; its followers of count 1, 2 and more, and tokens.
                 h, (after, *follow) = _summed(np.concatenate((words[1], words[0])), [np.concatenate((zero + 1, zero)), *(np.concatenate((zero, x)) for x in values)])
                 for k, (x, *rest) in _by_shard(shard_of(mix(h), shards), shards, h, after, *follow):
-                    yield _batch([(k, "w", pack(x, np.zeros(0, np.uint32), *(r.astype(np.uint32) for r in rest)))])
+                    yield _batch([(k, "w", pack(x, np.zeros(0, np.uint8), *map(_tight, rest)))])
                 return
             # Of each n-gram without its last word: followers; without its first one: words before it.
             before = [w[whole] for w in words[:-1]]
@@ -314,7 +316,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> NGrams:
             place = np.zeros(len(c), np.int64)
             place[np.searchsorted(c, gram_key(before))] = where
             for k, (x, *rest) in _by_shard(place, shards, c, *follow):
-                yield _batch([(k, "c", pack(x.view(np.int64), *(y for r in rest for y in _counts(r))))])
+                yield _batch([(k, "c", pack(x, *(y for r in rest for y in _counts(r))))])
             del before, where, c, follow, place
             rest = gram_key(words[1:])
             by = np.argsort(rest)
@@ -337,11 +339,11 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> NGrams:
         if not parts:
             return
         sizes = [len(p[0]) for p in parts]
-        full = lambda p, k: p[k] if len(p[k]) else np.zeros(len(p[0]), np.uint32)
+        full = lambda p, k: p[k].astype(np.int64) if len(p[k]) else np.zeros(len(p[0]), np.int64)
         h, sums = _summed(np.concatenate([p[0] for p in parts]), [np.concatenate([full(p, k) for p in parts]) for k in range(1, 7)])
         assert sum(sizes) >= len(h)
         _save(folder, f"word-{shard}", h)
-        _save(folder, f"numbers-{shard}", np.stack(sums, 1))
+        _save_numbers(folder, f"1-{shard}", np.stack(sums, 1))
         after = sums[1]
         yield _batch([(0, "v", np.array([(sums[0] > 0).sum(), sums[0].sum(), after.sum(), *np.bincount(np.minimum(after, 5), minlength=6)[1:5]], np.int64).tobytes())])
 
@@ -352,6 +354,7 @@ def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> NGrams:
     gathered = written(found.filter("kind = 'w'").repartitionById(shards, F.col("shard")).mapInArrow(words, _BLOCKS), "lm-words")
     add = lambda df, kind, n: np.sum([np.frombuffer(r[0], np.int64) for r in df.filter(F.col("kind") == kind).select("block").collect()] or [np.zeros(n, np.int64)], 0)
     by_count, numbers = [add(found, f"n{k}", 6) for k in range(2, order + 1)], add(gathered, "v", 7)  # a few numbers a shard
+    discard(found, gathered)
     v, n, pairs = (int(x) for x in numbers[:3])
     d, dw = [discounts(*map(int, c[1:5])) for c in by_count], discounts(*map(int, numbers[3:7]))
     t1, t2 = int(numbers[3]), int(numbers[4])
@@ -372,7 +375,7 @@ class _Arrays:
             self.open[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
         return self.open[key]
 
-    def find(self, keys: np.ndarray, shard: np.ndarray, shards: int, name: str, values: str, width: int) -> np.ndarray:
+    def find(self, keys: np.ndarray, shard: np.ndarray, shards: int, name: str, level: int, width: int) -> np.ndarray:
         """Values of distinct keys; zeros where a key is missing."""
         out = np.zeros((len(keys), width), np.int64)
         for k, (rows,) in _by_shard(shard, shards, np.arange(len(keys))):
@@ -382,7 +385,12 @@ class _Arrays:
             rows = rows[np.argsort(keys[rows])]
             at = np.minimum(np.searchsorted(held, keys[rows]), len(held) - 1)
             ok = held[at] == keys[rows]
-            out[rows[ok]] = np.asarray(self.get(values, k)[at[ok]]).reshape(-1, width)
+            found = np.asarray(self.get(f"counts{level}", k)[at[ok]]).reshape(-1, width).astype(np.int64)
+            row, column = np.nonzero(found == 255)
+            if len(row):
+                places, values = self.get(f"more{level}", k)
+                found[row, column] = values[np.searchsorted(places, at[ok][row] * width + column)]
+            out[rows[ok]] = found
         return out
 
 
@@ -399,7 +407,7 @@ def token_scores(model: NGrams, hashes: np.ndarray, edges: np.ndarray) -> tuple[
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
     words = grams(hashes, edges, model.order)
     known, at = np.unique(np.concatenate((hashes, words[-2])), return_inverse=True)
-    numbers = arrays.find(known, shard_of(mix(known), model.shards), model.shards, "word", "numbers", 6)
+    numbers = arrays.find(known, shard_of(mix(known), model.shards), model.shards, "word", 1, 6)
     count, after = numbers[:, 0], numbers[:, 1]
     base = np.log10((count + 0.1) / (model.train + 0.1 * (model.words + 1)))
     own = (np.maximum(after - np.array(model.word_discounts)[np.minimum(after, 3)], 0) / max(1, model.pairs)) + model.share / (model.words + 1)
@@ -410,7 +418,7 @@ def token_scores(model: NGrams, hashes: np.ndarray, edges: np.ndarray) -> tuple[
         back = np.where(total > 0, (d[1] * f1 + d[2] * f2 + d[3] * f3) / np.maximum(total, 1), 1.0)
         key, first, k_at = np.unique(gram_key(words[-level:]), return_index=True, return_inverse=True)
         shard = gram_shard([w[first] for w in words[-level:]], model.shards)
-        found = arrays.find(key, shard, model.shards, f"gram{level}", f"counts{level}", 1 if level == model.order else 5)[k_at]
+        found = arrays.find(key, shard, model.shards, f"gram{level}", level, 1 if level == model.order else 5)[k_at]
         n = found[:, 0]
         p = np.maximum(n - d[np.minimum(n, 3)], 0) / np.maximum(total, 1) + back * p
         # The next order's context of a token is this order's n-gram that ends at the token before.

@@ -141,6 +141,22 @@ def test_language_model_of_any_order_equals_brute_force(spark, order):
         assert math.isclose(r.score, want, rel_tol=1e-9), r
 
 
+def test_counts_beyond_a_byte_and_many_shards(spark, monkeypatch):
+    """Counts of 255 and more, and more shards than shuffle partitions, change nothing."""
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 1000)
+    rnd = random.Random(2)
+    rows = [(k, " ".join(rnd.choice("the the the of of a b c d".split()) for _ in range(rnd.randrange(0, 60)))) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model = kneser_ney.train(docs, order=3)
+    assert model.shards > 20
+    p, total = brute_model([[*t.split(), None] for _, t in rows], 3)
+    assert model.train == total
+    texts = dict(rows)
+    for r in kneser_ney.score(docs.filter("doc_id % 9 = 0"), model).collect():
+        t = [0, *texts[r.doc_id].split(), None]
+        assert math.isclose(r.score, sum(math.log10(p(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t))), rel_tol=1e-9)
+
+
 def test_language_model_query_knows_two_words_of_context(spark, tmp_path):
     from siltstone.llm import queries
 
