@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import first_heading, trim
@@ -46,80 +46,120 @@ def window_bounds(lengths: Column, least: int = MIN_TURNS, most: int = MAX_TURNS
     return F.aggregate(places, start, visit)["out"]
 
 
-def sub_chunk_bounds(text: Column, cap: int = CAP, overlap: int = CHUNK_OVERLAP) -> Column:
-    """array<struct<start, end>> (0-based, end excluded): cuts after a paragraph or a line past half of the cap, else hard."""
-    n = F.length(text)
+#: Characters of a page; a cut looks at no more than so many at once.
+PAGE = 8192
+
+
+def pages(text: Column) -> Column:
+    """The text in pages of PAGE characters, in one pass: a stretch of up to a page's length lies in two of them, however long the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def stretch(paged: Column, start: Column, length: Column) -> Column:
+    """The text's characters from start on, at most PAGE of them."""
+    at = F.floor(start / PAGE).cast("int")
+    both = F.concat(F.coalesce(F.get(paged, at), F.lit("")), F.coalesce(F.get(paged, at + 1), F.lit("")))
+    return F.substring(both, (start - at * PAGE + 1).cast("int"), length.cast("int"))
+
+
+def _bound(value: Column, f) -> Column:
+    """f of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def sub_chunk_bounds(paged: Column, n: Column, cap: int = CAP, overlap: int = CHUNK_OVERLAP) -> Column:
+    """array<struct<start, end>> (0-based, end excluded) of a text in pages, of n characters: cuts after a paragraph or a line past half of the cap, else hard."""
     half = cap // 2
+    if cap + 2 > PAGE:
+        raise ValueError(f"a chunk must fit a page of {PAGE} characters")
     rounds = F.sequence(F.lit(0), F.ceil(n / F.lit(float(half - overlap))).cast("int"))
 
     def step(acc: Column, _: Column) -> Column:
         start = acc["at"]
         hard = F.least(start + cap, n)
-        # The last mark that starts at or before the hard end: reversed, the first.
-        last = lambda mark: start + cap + len(mark) - F.locate(mark, F.reverse(F.substring(text, start + 1, F.lit(cap + len(mark))))) - len(mark) + 1
-        has = lambda mark: F.contains(F.substring(text, start + 1, F.lit(cap + len(mark))), F.lit(mark))
-        cut = lambda mark: F.when(has(mark) & (last(mark) > start + half), last(mark) + len(mark))
-        end = F.when(hard < n, F.coalesce(cut("\n\n"), cut("\n"), hard)).otherwise(hard).cast("int")
-        end = F.least(end, n)
-        after = F.when(end >= n, n).when(end - overlap > start, end - overlap).otherwise(end).cast("int")
-        found = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.when(start >= n, acc).otherwise(F.struct(after.alias("at"), found.alias("out")))
+
+        def end_in(part: Column) -> Column:
+            # The last mark that starts at or before the hard end: reversed, the first.
+            def cut(mark: str) -> Column:
+                seen = F.substring(part, 1, cap + len(mark))
+                last = start + cap + len(mark) - F.locate(mark, F.reverse(seen)) - len(mark) + 1
+                return F.when(F.contains(seen, F.lit(mark)) & (last > start + half), last + len(mark))
+
+            return F.least(F.coalesce(cut("\n\n"), cut("\n"), hard), n).cast("int")
+
+        end = F.when(hard < n, _bound(stretch(paged, start, F.lit(cap + 2)), end_in)).otherwise(n.cast("int"))
+        return _bound(end, lambda e: F.struct(
+            F.when(e >= n, n).when(e - overlap > start, e - overlap).otherwise(e).cast("int").alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), e.alias("end")))).alias("out")))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(rounds, zero, step)["out"]
+    return F.aggregate(rounds, zero, lambda acc, k: F.when(acc["at"] >= n, acc).otherwise(step(acc, k)))["out"]
 
 
-def oversized_bounds(text: Column, target: int = 6000) -> Column:
+def oversized_bounds(paged: Column, n: Column, target: int = 6000) -> Column:
     """array<struct<start, end>>: cuts after the last blank line past half of the target, else hard; no overlap."""
-    n = F.length(text)
     half = target / 2
+    if target + 2 > PAGE:
+        raise ValueError(f"a chunk must fit a page of {PAGE} characters")
     rounds = F.sequence(F.lit(0), F.ceil(n / F.lit(half)).cast("int"))
 
     def step(acc: Column, _: Column) -> Column:
         start = acc["at"]
         hard = F.least(start + target, n)
-        part = F.substring(text, start + 1, F.lit(target + 2))
-        last = start + F.least(F.lit(target + 2), n - start) - F.locate("\n\n", F.reverse(part)) - 1
-        end = F.when((hard < n) & part.contains("\n\n") & (last > start + half), last + 2).otherwise(hard).cast("int")
-        found = F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))
-        return F.when(start >= n, acc).otherwise(F.struct(end.alias("at"), found.alias("out")))
+
+        def end_in(part: Column) -> Column:
+            last = start + F.least(F.lit(target + 2), n - start) - F.locate("\n\n", F.reverse(part)) - 1
+            return F.when((hard < n) & part.contains("\n\n") & (last > start + half), last + 2).otherwise(hard).cast("int")
+
+        return _bound(_bound(stretch(paged, start, F.lit(target + 2)), end_in), lambda e: F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), e.alias("end")))).alias("out")))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    return F.aggregate(rounds, zero, step)["out"]
+    return F.aggregate(rounds, zero, lambda acc, k: F.when(acc["at"] >= n, acc).otherwise(step(acc, k)))["out"]
 
 
-def turn_windows(turns: DataFrame, session: str = "session_id", index: str = "turn_index", text: str = "text", **options: int) -> DataFrame:
+def turn_windows(turns: DataFrame, session: str = "session_id", index: str = "turn_index", text: str = "text", carry: tuple[str, ...] = (), **options: int) -> DataFrame:
     """One row per window: session, first and last turn, number of turns, whether it is one oversized turn, and its text.
 
-    The windows follow from the lengths alone; a session's turns meet once, in order.
+    The windows follow from the lengths alone: only those of a session meet, in order. Texts join the windows they are
+    in by (session, turn), so a long session's texts are dealt over many tasks. Turns of one index go by their texts.
+    carry: columns of the turns, which come as an array of structs in the column members, in order.
     """
-    ordered = turns.groupBy(session).agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(text).alias("t")))).alias("turns"))
-    lengths = F.transform("turns", lambda t: F.length(t["t"]))
-    placed = ordered.withColumn("lengths", lengths).withColumn("w", F.explode(window_bounds(F.col("lengths"), **options)))
-    inside = F.slice("turns", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)
-    return placed.select(
-        session, F.get("turns", F.col("w.first"))["i"].alias("first_turn"), F.get("turns", F.col("w.last"))["i"].alias("last_turn"),
-        (F.col("w.last") - F.col("w.first") + 1).alias("window_size"), F.col("w.oversized").alias("oversized"), F.array_join(F.transform(inside, lambda t: t["t"]), "\n\n").alias("text"),
-    )
+    rows = turns.select(session, F.col(index).alias("_i"), F.col(text).alias("_t"), F.struct(F.col(index).alias("turn_index"), *carry).alias("_m"))
+    rows = rows.withColumn("_again", F.row_number().over(Window.partitionBy(session, "_i").orderBy("_t")))
+    ordered = rows.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("_i", "_again", F.length("_t").alias("n")))).alias("_o"))
+    ordered = ordered.withColumn("_b", window_bounds(F.transform("_o", lambda t: t["n"]), **options))
+    windows = F.transform("_b", lambda b: F.struct(
+        F.get("_o", b["first"])["_i"].alias("first_turn"), F.get("_o", b["last"])["_i"].alias("last_turn"), (b["last"] - b["first"] + 1).alias("window_size"), b["oversized"].alias("oversized"),
+        F.transform(F.slice("_o", b["first"] + 1, b["last"] - b["first"] + 1), lambda t: F.struct(t["_i"], t["_again"])).alias("of")))
+    placed = ordered.select(session, windows.alias("_w")).select(session, F.posexplode("_w").alias("_no", "_w"))
+    facts = ["first_turn", "last_turn", "window_size", "oversized"]
+    members = placed.select(session, "_no", *[f"_w.{f}" for f in facts], F.posexplode("_w.of").alias("_k", "_of")).select("*", "_of._i", "_of._again").drop("_of")
+    met = members.join(rows, [session, "_i", "_again"]).groupBy(session, "_no", *facts).agg(F.array_sort(F.collect_list(F.struct("_k", "_t", "_m"))).alias("_all"))
+    more = [F.transform("_all", lambda x: x["_m"]).alias("members")] if carry else []
+    return met.select(session, *facts, F.array_join(F.transform("_all", lambda x: x["_t"]), "\n\n").alias("text"), *more)
 
 
 def sub_chunks(rows: DataFrame, text: str = "text", cap: int = CAP) -> DataFrame:
     """rows, one for each sub-chunk of the text, with chunk_no, start_char, end_char; the text is the chunk's."""
-    cut = rows.select("*", F.posexplode(sub_chunk_bounds(F.col(text), cap)).alias("chunk_no", "_b"))
-    return cut.withColumns({text: F.substring(F.col(text), F.col("_b.start") + 1, F.col("_b.end") - F.col("_b.start")), "start_char": F.col("_b.start"), "end_char": F.col("_b.end")}).drop("_b")
+    others = [c for c in rows.columns if c != text]
+    cut = rows.withColumns({"_pages": pages(F.col(text)), "_n": F.length(text)}).drop(text)
+    cut = cut.withColumn("_b", sub_chunk_bounds(F.col("_pages"), F.col("_n"), cap))
+    pieces = F.transform("_b", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), stretch(F.col("_pages"), b["start"], b["end"] - b["start"]).alias("t")))
+    out = cut.select(*others, pieces.alias("_p")).select(*others, F.posexplode("_p").alias("chunk_no", "_p"))
+    named = out.select(*others, F.col("_p.t").alias(text), "chunk_no", F.col("_p.start").alias("start_char"), F.col("_p.end").alias("end_char"))
+    return named.select(*rows.columns, "chunk_no", "start_char", "end_char")
 
 
 def markdown_chunks(notes: DataFrame, text: str = "text", chunk_by: str = "file", large: int = 8000, target: int = 6000) -> DataFrame:
     """notes, one row for each chunk: chunk_no, section_title, content. chunk_by: file, hr-separator or h2-section."""
-    content = F.col(text)
+    content, notes = F.col(text), notes.filter(F.length(trim(F.col(text))) > 0)
     if chunk_by == "file":
-        bounds = F.when(F.length(content) > large, oversized_bounds(content, target)).otherwise(F.array(F.struct(F.lit(0).alias("start"), F.length(content).alias("end"))))
-        parts = F.transform(bounds, lambda b: trim(F.substring(content, b["start"] + 1, b["end"] - b["start"])))
-        parts = F.when(F.length(content) > large, F.filter(parts, lambda p: F.length(p) > 20)).otherwise(parts)
+        notes = notes.withColumns({"_pages": F.when(F.length(content) > large, pages(content)), "_n": F.length(content)})
+        pieces = F.transform(oversized_bounds(F.col("_pages"), F.col("_n"), target), lambda b: trim(stretch(F.col("_pages"), b["start"], b["end"] - b["start"])))
+        parts = F.when(F.col("_n") > large, F.filter(pieces, lambda p: F.length(p) > 20)).otherwise(F.array(trim(content)))
     else:
         pattern = {"hr-separator": r"\n---+\n", "h2-section": r"(?m)(?=^## )"}[chunk_by]
         parts = F.filter(F.transform(F.split(content, pattern), trim), lambda p: F.length(p) > 20)
-    cut = notes.filter(F.length(trim(content)) > 0).select("*", F.posexplode(parts).alias("chunk_no", "content"))
+    cut = notes.withColumn("_parts", parts).drop("_pages", "_n").select("*", F.posexplode("_parts").alias("chunk_no", "content")).drop("_parts")
     return cut.withColumn("section_title", first_heading(F.col("content")))
 
 

@@ -37,10 +37,44 @@ def test_window_bounds(spark, lengths, want):
     ],
 )
 def test_sub_chunks(spark, text, want):
-    got = spark.createDataFrame([(text,)], "t string").select(windowing.sub_chunk_bounds(F.col("t"))).first()[0]
+    got = spark.createDataFrame([(text,)], "t string").select(windowing.sub_chunk_bounds(windowing.pages(F.col("t")), F.length("t"))).first()[0]
     assert [(b["start"], b["end"]) for b in got] == want
 
 
+def test_long_texts_are_cut_page_by_page(spark):
+    rnd = random.Random(4)
+    text = "".join(rnd.choice(["word ", "é漢🙂", "\n", "\n\n", "x" * 700]) for _ in range(4000))
+    rows = windowing.sub_chunks(spark.createDataFrame([(7, text, "kept")], "k int, t string, other string"), "t").orderBy("chunk_no").collect()
+    start, want = 0, []
+    while start < len(text):
+        hard = min(start + 3200, len(text))
+        end = hard
+        if hard < len(text):
+            at = text.rfind("\n\n", start, hard + 2)
+            line = text.rfind("\n", start, hard + 1)
+            end = at + 2 if at > start + 1600 else line + 1 if line > start + 1600 else hard
+        want.append((start, min(end, len(text))))
+        start = len(text) if end >= len(text) else end - 200 if end - 200 > start else end
+    assert [(r.start_char, r.end_char) for r in rows] == want
+    assert all(r.t == text[r.start_char : r.end_char] and r.other == "kept" for r in rows)
+
+
+def test_windows_of_a_long_session(spark):
+    """Ten thousand turns of one session, beside a session whose turns share an index."""
+    long = [(1, k, f"turn {k} " + "y" * (k % 97) * 20, "user") for k in range(10_000)]
+    odd = [(2, 0, "b", "user"), (2, 0, "a", "assistant"), (2, 1, "c", "user")]
+    turns = spark.createDataFrame(long + odd, "session_id int, turn_index int, text string, role string").repartition(4)
+    got = windowing.turn_windows(turns, carry=("role",))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    found = got.collect()
+    texts = [t for _, _, t, _ in long]
+    one = [r for r in found if r.session_id == 1]
+    assert all(r.text == "\n\n".join(texts[r.first_turn : r.last_turn + 1]) and len(r.members) == r.window_size for r in one)
+    assert {k for r in one for k in range(r.first_turn, r.last_turn + 1)} == set(range(10_000))
+    assert {(r.text, tuple(m.role for m in r.members)) for r in found if r.session_id == 2 and r.first_turn == 0} == {("a\n\nb\n\nc", ("assistant", "user", "user"))}
+
+
 def test_fusion(spark):
     lex = spark.createDataFrame([(1, 1), (2, 2)], "chunk_id long, rank long")
     sem = spark.createDataFrame([(1, 1), (3, 2)], "chunk_id long, rank long")
