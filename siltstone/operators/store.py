@@ -42,10 +42,3 @@ def without(stored: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def quarantine_distinct(rows: DataFrame, path: str = "source_path", content: str = "content", order: Sequence[str] = ("created_at", "quarantine_id")) -> DataFrame:
     """The earliest row of each (path, md5 of content)."""
     return first_of_each(rows, [path, F.md5(F.col(content))], [F.col(c).asc() for c in order])
-
-
-def run_record(batch: str, source: str, started: Column, status: str, totals: dict[str, Column]) -> list[Column]:
-    """The columns of an ingest run's record."""
-    if status not in {"running", "completed", "failed", "partial"}:
-        raise ValueError(f"unknown status {status}")
-    return [F.lit(batch).alias("ingest_batch"), F.lit(source).alias("source_label"), started.alias("started_at"), F.lit(status).alias("status"), *[c.alias(k) for k, c in totals.items()]]

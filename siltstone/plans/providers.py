@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fulltext, vector
+from ..functions import fulltext, text as texts, vector
 
 
 class Embedder(Protocol):
@@ -39,11 +39,75 @@ class OverlapReranker:
         return F.try_divide(held.cast("double"), F.lit(float(max(1, len(words)))))
 
 
-class NoPrefix:
-    """No context prefixes: the flag stays null, which says that they were not wanted."""
+class Prefixer(Protocol):
+    """Context prefixes: context is taken of a document once, and a chunk's prefix made from it; null where the call failed."""
 
-    def prefix(self, document: Column, chunk: Column) -> Column:
-        return F.lit(None).cast("string")
+    def context(self, document: Column) -> Column: ...
+
+    def prefix(self, context: Column, chunk: Column) -> Column: ...
+
+
+class TemplatePrefix:
+    """The document's beginning, named as such."""
+
+    def __init__(self, chars: int = 120):
+        self.chars = chars
+
+    def context(self, document: Column) -> Column:
+        return F.substring(texts.collapse(F.substring(document, 1, 4 * self.chars)), 1, self.chars)
+
+    def prefix(self, context: Column, chunk: Column) -> Column:
+        return F.when(F.length(context) > 0, F.concat(F.lit("From a conversation that begins: "), context))
+
+
+class FallbackPrefix:
+    """The first provider's prefix, or the second's where the first failed."""
+
+    def __init__(self, first: Prefixer, second: Prefixer):
+        self.first, self.second = first, second
+
+    def context(self, document: Column) -> Column:
+        return F.struct(self.first.context(document).alias("a"), self.second.context(document).alias("b"))
+
+    def prefix(self, context: Column, chunk: Column) -> Column:
+        return F.coalesce(self.first.prefix(context["a"], chunk), self.second.prefix(context["b"], chunk))
+
+
+class Summarizer(Protocol):
+    def summary(self, prompt: Column) -> Column: ...
+
+
+class CutSummary:
+    """The prompt's beginning in one line."""
+
+    def __init__(self, chars: int = 600):
+        self.chars = chars
+
+    def summary(self, prompt: Column) -> Column:
+        return texts.collapse(F.substring(prompt, 1, self.chars))
+
+
+class FallbackSummary:
+    def __init__(self, first: Summarizer, second: Summarizer):
+        self.first, self.second = first, second
+
+    def summary(self, prompt: Column) -> Column:
+        return F.coalesce(self.first.summary(prompt), self.second.summary(prompt))
+
+
+class Answerer(Protocol):
+    def answer(self, hits: DataFrame) -> DataFrame: ...
+
+
+class FallbackAnswer:
+    """The first provider's answer; where it is null (the call failed), the second's."""
+
+    def __init__(self, first: Answerer, second: Answerer):
+        self.first, self.second = first, second
+
+    def answer(self, hits: DataFrame) -> DataFrame:
+        both = self.first.answer(hits).withColumn("at", F.lit(0)).unionByName(self.second.answer(hits).withColumn("at", F.lit(1)))
+        return both.agg(F.min_by("answer", F.when(F.col("answer").isNotNull(), F.col("at"))).alias("answer"))
 
 
 class Extractive:

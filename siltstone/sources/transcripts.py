@@ -6,24 +6,40 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import projection
+from ..operators import sessions
 
 #: Fixed value: longer lines are skipped.
 LINE_CHARS = 2_000_000
 _ENTRY = projection.ENTRY
 
 
+def listing(spark: SparkSession, path: str, recursive: bool = True, most_bytes: int | None = None, most_files: int | None = None) -> DataFrame:
+    """(source_path, byte_size) of the .jsonl files under a folder, or of one file; no content is read."""
+    files = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", str(recursive).lower()).format("binaryFile").load(path)
+    named = files.select(F.col("path").alias("source_path"), F.col("length").alias("byte_size"))
+    if most_bytes is not None:
+        named = named.filter(F.col("byte_size") <= most_bytes)
+    return named if most_files is None else named.orderBy("source_path").limit(most_files)
+
+
 def lines(spark: SparkSession, path: str, recursive: bool = True, most_bytes: int | None = None, most_files: int | None = None) -> DataFrame:
     """(source_path, session_id, byte_size, line_no, line) of the .jsonl files under a folder, blank and overlong lines left out.
 
-    A file's lines stay in order: line numbers come from each file as a whole.
+    Files are read line by line, large ones by several tasks. line_no is (where the task's part of the file begins,
+    place in it): it grows with the line's place in its file, and that is all it is for.
     """
-    files = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", str(recursive).lower()).format("binaryFile").load(path)
-    named = files.select(F.col("path").alias("source_path"), F.col("length").alias("byte_size"), F.col("content"))
+    read = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", str(recursive).lower()).text(path)
+    cut = read.select(
+        F.col("_metadata.file_path").alias("source_path"), F.col("_metadata.file_size").alias("byte_size"),
+        F.struct(F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at")).alias("line_no"), F.col("value").alias("line"),
+    )
     if most_bytes is not None:
-        named = named.filter(F.col("byte_size") <= most_bytes)
+        cut = cut.filter(F.col("byte_size") <= most_bytes)
     if most_files is not None:
-        named = named.orderBy("source_path").limit(most_files)
-    cut = named.select("source_path", "byte_size", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("line_no", "line"))
+        # The chosen paths are the listing's first ones; a listing writes file:/x where a row has file:///x.
+        plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+        chosen = listing(spark, path, recursive, most_bytes, most_files).select(plain("source_path").alias("_chosen"))
+        cut = cut.join(chosen, plain(F.col("source_path")) == F.col("_chosen"), "left_semi")
     return cut.filter((F.length(F.trim("line")) > 0) & (F.length("line") <= LINE_CHARS)).withColumn("session_id", session_of("source_path"))
 
 
@@ -54,6 +70,13 @@ def bad_lines(parsed: DataFrame) -> DataFrame:
     return parsed.filter(F.col("entry").isNull())
 
 
+def session_facts(parsed: DataFrame, session: str = "session_id", order: str = "line_no") -> DataFrame:
+    """(session, started_at, ended_at, message_count, project_path, summary) of all entries: first working folder, last title."""
+    e = F.col("entry")
+    entries = parsed.filter(e.isNotNull()).select(session, order, e["timestamp"].alias("at"), e["cwd"].alias("cwd"), F.when(e["type"] == "ai-title", e["aiTitle"]).alias("title"))
+    return sessions.rollup(entries, session, order, "at", "cwd", "title")
+
+
 def to_turns(parsed: DataFrame, product: str, session: str = "session_id", order: str = "line_no") -> DataFrame:
     """Content-bearing entries as turns, numbered from 0 in each session: role, text, occurred_at, tools_called, is_meta_message."""
     e, content = F.col("entry"), F.col("entry.message.content")
