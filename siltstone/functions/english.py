@@ -1,4 +1,4 @@
-"""English full-text search: stop words, Porter stems, positions, and a cover-density rank.
+"""English full-text search: stop words, Snowball stems, positions, and a cover-density rank.
 
 Stems come from an Arrow-batched function with a memory of words; everything after that is built in, but the
 rank, whose covers are found by one sweep over a document's positions.
@@ -23,83 +23,120 @@ STOP_WORDS = frozenset(
     "through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such "
     "no nor not only own same so than too very s t can will just don should now".split()
 )
-# Porter's endings (1980) and what takes their place, by step.
+# The English Snowball stemmer's exceptions, endings by step and what takes their place.
+WHOLE = (
+    "skis:ski skies:sky dying:die lying:lie tying:tie idly:idl gently:gentl ugly:ugli early:earli only:onli singly:singl "
+    "sky:sky news:news howe:howe atlas:atlas cosmos:cosmos bias:bias andes:andes"
+)
+LEFT_BY_STEP_1 = "inning outing canning herring earring proceed exceed succeed"
 STEP_2 = (
-    "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
+    "tional:tion enci:ence anci:ance abli:able entli:ent izer:ize ization:ize ational:ate ation:ate ator:ate alism:al aliti:al alli:al fulness:ful ousli:ous ousness:ous iveness:ive iviti:ive "
+    "biliti:ble bli:ble fulli:ful lessli:less"
 )
-STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
+STEP_3 = "tional:tion ational:ate alize:al icate:ic iciti:ic ical:ic ful: ness:"
+STEP_4 = "al ance ence er ic able ible ant ement ment ent ism ate iti ous ive ize"
+DOUBLES, BEFORE_LI = "bb dd ff gg mm nn pp rr tt".split(), "cdeghkmnrt"
 #: The weight of an unlabelled word in the cover-density rank.
 WEIGHT = 0.1
 
 
-def _shape(word: str) -> str:
-    """v for each vowel, c for each consonant."""
-    out = ""
-    for k, c in enumerate(word):
-        vowel = c in "aeiou" or (c == "y" and k > 0 and out[-1] == "c")
-        out += "v" if vowel else "c"
-    return out
+_VOWELS = "aeiouy"
+
+
+def _regions(word: str) -> tuple[int, int]:
+    """Where the regions after the first, and then the second, consonant that follows a vowel begin."""
+    def after(start: int) -> int:
+        for k in range(start + 1, len(word)):
+            if word[k] not in _VOWELS and word[k - 1] in _VOWELS:
+                return k + 1
+        return len(word)
+
+    first = next((len(p) for p in ("gener", "commun", "arsen") if word.startswith(p)), None)
+    one = after(0) if first is None else first
+    return one, after(one)
+
 
+def _short_syllable(word: str) -> bool:
+    """The word ends in a short syllable."""
+    if len(word) == 2:
+        return word[0] in _VOWELS and word[1] not in _VOWELS
+    return len(word) > 2 and word[-1] not in _VOWELS and word[-1] not in "wxY" and word[-2] in _VOWELS and word[-3] not in _VOWELS
 
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
 
+def _has_vowel(part: str) -> bool:
+    return any(c in _VOWELS for c in part)
 
-def _short_end(stem: str) -> bool:
-    return _shape(stem).endswith("cvc") and stem[-1] not in "wxy"
 
+def _longest(word: str, table: str) -> tuple[str, str] | None:
+    rules = [r.partition(":")[::2] for r in table.split()]
+    return max((r for r in rules if word.endswith(r[0])), key=lambda r: len(r[0]), default=None)
 
-def _by_table(word: str, table: str) -> str:
-    for rule in sorted(table.split(), key=lambda r: -len(r.partition(":")[0])):
-        ending, _, new = rule.partition(":")
-        if word.endswith(ending):
-            stem = word[: -len(ending)]
-            return stem + new if _measure(stem) > 0 else word
-    return word
+
+def _plural(w: str) -> str:
+    if w.endswith("sses"):
+        return w[:-2]
+    if w.endswith(("ied", "ies")):
+        return w[:-2] if len(w) > 4 else w[:-1]
+    if w.endswith(("us", "ss")) or not w.endswith("s"):
+        return w
+    return w[:-1] if _has_vowel(w[:-2]) else w
+
+
+def _past(w: str, one: int) -> str:
+    for ending in ("eedly", "eed"):
+        if w.endswith(ending):
+            return w[: -len(ending)] + "ee" if len(w) - len(ending) >= one else w
+    for ending in ("ingly", "edly", "ing", "ed"):
+        if w.endswith(ending):
+            rest = w[: -len(ending)]
+            if not _has_vowel(rest):
+                return w
+            if rest.endswith(("at", "bl", "iz")):
+                return rest + "e"
+            if rest[-2:] in DOUBLES:
+                return rest[:-1]
+            return rest + "e" if one >= len(rest) and _short_syllable(rest) else rest
+    return w
 
 
 @lru_cache(maxsize=200_000)
 def stem(word: str) -> str:
-    """Porter's stem of a lower-case word."""
+    """The English Snowball stem of a lower-case word."""
     if len(word) <= 2 or not word.isalpha():
         return word
-    w = word
-    if w.endswith("sses") or w.endswith("ies"):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) > 0 else w
-    else:
-        for ending in ("ed", "ing"):
-            rest = w[: -len(ending)]
-            if w.endswith(ending) and "v" in _shape(rest):
-                if rest.endswith(("at", "bl", "iz")):
-                    w = rest + "e"
-                elif len(rest) > 1 and rest[-1] == rest[-2] and _shape(rest)[-1] == "c" and rest[-1] not in "lsz":
-                    w = rest[:-1]
-                elif _measure(rest) == 1 and _short_end(rest):
-                    w = rest + "e"
-                else:
-                    w = rest
-                break
-    if w.endswith("y") and "v" in _shape(w[:-1]):
+    whole = dict(r.split(":") for r in WHOLE.split())
+    if word in whole:
+        return whole[word]
+    # A y that is a consonant, at the start or after a vowel, is written Y.
+    w = "".join("Y" if c == "y" and (k == 0 or word[k - 1] in _VOWELS) else c for k, c in enumerate(word))
+    one, two = _regions(w)
+    w = _plural(w)
+    if w in LEFT_BY_STEP_1.split():
+        return w
+    w = _past(w, one)
+    if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWELS:
         w = w[:-1] + "i"
-    w = _by_table(_by_table(w, STEP_2), STEP_3)
-    for ending in sorted(STEP_4.split(), key=len, reverse=True):
-        if w.endswith(ending):
-            rest = w[: -len(ending)]
-            if _measure(rest) > 1 and (ending != "ion" or rest.endswith(("s", "t"))):
-                w = rest
-            break
+    if found := _longest(w, STEP_2 + " ogi:og li:"):
+        ending, new = found
+        rest = w[: -len(ending)]
+        if len(rest) >= one and (ending != "ogi" or rest.endswith("l")) and (ending != "li" or rest[-1:] in BEFORE_LI):
+            w = rest + new
+    if found := _longest(w, STEP_3 + " ative:"):
+        ending, new = found
+        rest = w[: -len(ending)]
+        if len(rest) >= (two if ending == "ative" else one):
+            w = rest + new
+    if found := _longest(w, STEP_4 + " ion"):
+        rest = w[: -len(found[0])]
+        if len(rest) >= two and (found[0] != "ion" or rest[-1:] in "st"):
+            w = rest
     if w.endswith("e"):
         rest = w[:-1]
-        if _measure(rest) > 1 or (_measure(rest) == 1 and not _short_end(rest)):
+        if len(rest) >= two or (len(rest) >= one and not _short_syllable(rest)):
             w = rest
-    if w.endswith("ll") and _measure(w[:-1]) > 1:
+    elif w.endswith("ll") and len(w) - 1 >= two:
         w = w[:-1]
-    return w
+    return w.lower()
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -136,7 +173,11 @@ def matches(stems: Column, query: str) -> Column:
 
 def covers(stems: list[str], wanted: list[str]) -> float:
     """The sum over minimal stretches that hold every wanted stem of WEIGHT over 1 plus the other words inside."""
-    places = [(k, s) for k, s in enumerate(stems) if s in wanted]
+    return covers_at([(k, s) for k, s in enumerate(stems) if s in wanted], wanted)
+
+
+def covers_at(places: list[tuple[int, str]], wanted: list[str]) -> float:
+    """covers, of the wanted stems' places in order."""
     need, held, low, total = set(wanted), {}, 0, 0.0
     for high, (at, s) in enumerate(places):
         held[s] = held.get(s, 0) + 1

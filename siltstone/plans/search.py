@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
-from ..operators import rank
+from ..operators import indexes, rank
 from .providers import OverlapReranker, Reranker, rerank as reranked
 
 
@@ -26,12 +26,14 @@ def resolve_mode(mode: str, query: str) -> str:
 def hybrid_search(
     chunks: DataFrame, query: str, embedding: Sequence[float], match_count: int = 10, full_text_weight: float = 1.0, semantic_weight: float = 1.0,
     recency_weight: float = 0.0, rrf_k: float = rank.RRF_K, owner: str | None = None, source_type: str | None = None, date: Column | None = None, unit: bool = False, config: str = "simple",
+    words: indexes.LexicalIndex | None = None, vectors: indexes.VectorIndex | None = None, probes: int | None = None,
 ) -> DataFrame:
     """The n best chunk ids with ft_rank, sm_rank, rc_rank, score and place.
 
     Filters come before the lists are cut; a chunk in neither list is never returned, whatever its date; one
     whose lists have weight 0 still is. Ids and scores travel; rows are fetched last (fetch). config: simple
-    tokens, or english stems ranked by cover density.
+    tokens, or english stems ranked by cover density. words, vectors: stored indexes in place of scans of the
+    chunks, the second read in `probes` cells, or exactly where that is None.
     """
     n = min(match_count, rank.MOST)
     base = chunks
@@ -40,7 +42,10 @@ def hybrid_search(
     if source_type is not None:
         base = base.filter(F.col("source_type") == source_type)
     lexical = {"simple": rank.lexical_topk, "english": rank.english_topk}[config]
-    fused = rank.fuse(lexical(base, query, 2 * n), rank.semantic_topk(base, embedding, 2 * n, unit=unit), k=rrf_k, full_text_weight=full_text_weight, semantic_weight=semantic_weight)
+    within = None if base is chunks else base.select("chunk_id")
+    found = lexical(base, query, 2 * n) if words is None or not words.answers(query) else words.search(query, 2 * n, within)
+    near = rank.semantic_topk(base, embedding, 2 * n, unit=unit) if vectors is None else vectors.search(embedding, 2 * n, probes, within)
+    fused = rank.fuse(found, near, k=rrf_k, full_text_weight=full_text_weight, semantic_weight=semantic_weight)
     if date is not None:
         fused = rank.add_recency(fused, chunks, date, recency_weight, k=rrf_k)
     return rank.best(fused, n)

@@ -7,9 +7,9 @@ from siltstone.functions import english
 from siltstone.operators import rank
 
 STEMS = (
-    "caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss "
+    "caresses:caress ponies:poni ties:tie cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss "
     "fizzed:fizz failing:fail filing:file happy:happi sky:sky relational:relat conditional:condit rational:ration digitizer:digit operator:oper feudalism:feudal decisiveness:decis hopefulness:hope formaliti:formal "
-    "triplicate:triplic formative:form electrical:electr goodness:good revival:reviv allowance:allow inference:infer adjustable:adjust replacement:replac adoption:adopt communism:commun effective:effect probate:probat "
+    "triplicate:triplic formative:format electrical:electr goodness:good revival:reviv allowance:allow inference:infer adjustable:adjust replacement:replac adoption:adopt communism:communism effective:effect probate:probat "
     "rate:rate cease:ceas controll:control roll:roll"
 )
 
