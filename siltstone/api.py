@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as texts
 from .functions.arguments import clamp_int, replay_arguments
+from .operators import indexes
 from .operators import sessions as session_ops
 from .plans import providers, search
 
@@ -25,6 +26,13 @@ class Engine:
     embedder: providers.Embedder
     reranker: providers.Reranker
     owner: str | None = None
+    answerer: providers.Answerer = field(default_factory=lambda: providers.Extractive())
+    #: simple tokens, or english stems.
+    config: str = "simple"
+    #: Stored indexes of session chunks and of notes, in place of scans; and the cells that an approximate search reads (none: exact).
+    words: dict[str, indexes.LexicalIndex] = field(default_factory=dict)
+    vectors: dict[str, indexes.VectorIndex] = field(default_factory=dict)
+    probes: int | None = None
 
     def embed_query(self, query: str) -> list[float]:
         """The query's vector, once for all surfaces."""
@@ -33,7 +41,9 @@ class Engine:
 
     def _hits(self, chunks: DataFrame, query: str, vector_: list[float], limit: int, mode: str, date: str, columns: list[str], source_type: str | None = None) -> DataFrame:
         recency = 1.0 if mode == "current" else 0.0
-        found = search.hybrid_search(chunks, query, vector_, limit, recency_weight=recency, owner=self.owner, source_type=source_type, date=F.col(date))
+        of = "sessions" if chunks is self.session_chunks else "memory"
+        found = search.hybrid_search(
+            chunks, query, vector_, limit, recency_weight=recency, owner=self.owner, source_type=source_type, date=F.col(date), config=self.config, words=self.words.get(of), vectors=self.vectors.get(of), probes=self.probes)
         return search.fetch(chunks, found.select("chunk_id", "score", "place"), ["content", *columns])
 
     def search_sessions(self, query: str, limit: Any = None, rerank: bool = False, hide_meta: bool = False, search_mode: str = "auto") -> DataFrame:
@@ -84,15 +94,20 @@ class Engine:
     def list_sessions(self, since: str | None = None, project_path: str | None = None, limit: Any = None, offset: Any = None) -> DataFrame:
         return session_ops.list_sessions(self.sessions, clamp_int(limit, 1, 100, "limit", 25), clamp_int(offset, 0, 2**31 - 1, "offset", 0), since, project_path)
 
-    def answer(self, question: str, sources: list[str] | None = None, match_count: Any = None, rerank: bool = True, hide_meta: bool = True, search_mode: str = "auto") -> dict:
-        """{question, answer, citations, search_mode}: the local answer quotes the cited chunks."""
+    def answer_rows(self, question: str, sources: list[str] | None = None, match_count: Any = None, rerank: bool = True, hide_meta: bool = True, search_mode: str = "auto") -> DataFrame:
+        """The numbered hits that an answer is made from."""
         count, mode = clamp_int(match_count, 1, 30, "match_count", 10), search.resolve_mode(search_mode, question)
         lists = self._surfaces(question, search.overfetch(count, rerank), mode, sources or ["sessions", "memory"], hide_meta)
-        hits = search.answer_hits(lists, question, count, mode, self.reranker if rerank else None)
+        return search.answer_hits(lists, question, count, mode, self.reranker if rerank else None)
+
+    def answer(self, question: str, sources: list[str] | None = None, match_count: Any = None, rerank: bool = True, hide_meta: bool = True, search_mode: str = "auto") -> dict:
+        """{question, answer, citations, search_mode}: the answer is the provider's, made of the cited chunks."""
+        hits = self.answer_rows(question, sources, match_count, rerank, hide_meta, search_mode)
         rows = hits.select("n", "kind", "session_id", "source_path", "turn_index", "occurred_at", "content").orderBy("n").collect()  # at most 30
         citations = [{**{k: r[k] for k in ("n", "kind", "session_id", "source_path", "turn_index", "occurred_at") if r[k] is not None}, "snippet": r["content"][: texts.CITED_CHARS]} for r in rows]
-        said = "\n".join(f"{c['snippet']} [{c['n']}]" for c in citations) or "No relevant chunks found in your corpus for this question."
-        return {"question": question, "answer": said, "citations": citations, "search_mode": mode}
+        found = self.session_chunks.sparkSession.createDataFrame([(r["n"], r["content"]) for r in rows], "n long, content string")
+        said = self.answerer.answer(found).first()["answer"]
+        return {"question": question, "answer": said, "citations": citations, "search_mode": search.resolve_mode(search_mode, question)}
 
     def stats(self) -> DataFrame:
         """Rows of each table, and how many session chunks have a context prefix."""

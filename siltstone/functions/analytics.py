@@ -54,3 +54,8 @@ def canonical_project(path: Column, home: str) -> Column:
         .when(at > 0, F.substring(path, F.lit(1), at - 1))
         .otherwise(path)
     )
+
+
+def hour_age(at: Column, now: Column) -> Column:
+    """Hours from one time to another, to two digits, rounded down."""
+    return F.floor((F.unix_timestamp(now) - F.unix_timestamp(at)) / F.lit(36.0)) / F.lit(100.0)

@@ -30,6 +30,16 @@ class HashEmbedder:
         return vector.hashed_embedding(fulltext.tokens(text), self.dimensions)
 
 
+class FixedEmbedder:
+    """One vector for every text: a query's vector that is known already."""
+
+    def __init__(self, vector_: list[float]):
+        self.vector, self.dimensions = vector_, len(vector_)
+
+    def embed(self, text: Column) -> Column:
+        return F.array(*[F.lit(float(x)).cast("float") for x in self.vector])
+
+
 class OverlapReranker:
     """The share of the query's words that a text holds."""
 

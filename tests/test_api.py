@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from siltstone import api, cli
-from siltstone.plans import catalog
+from siltstone.plans import catalog, catalog_jobs  # noqa: F401 - registers its queries
 from siltstone.plans.providers import HashEmbedder, OverlapReranker
 
 DATA = "/root/testdata/sf0.001"
