@@ -7,15 +7,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import AFTER, EDGE
 from .text import collapse
 
 UNMATCHED, UNSCOPED = "UNMATCHED", "unscoped"
 # What is taken out of an error text, in this order.
-_EDGE, _AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 VOLATILE = [
     (r"\"[^\"]*\"|'[^']*'", "<STR>"),
-    (rf"(?i){_EDGE}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{_AFTER}", "<ID>"),
-    (rf"(?i){_EDGE}[0-9a-f]{{16,}}{_AFTER}", "<ID>"),
+    (rf"(?i){EDGE}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{AFTER}", "<ID>"),
+    (rf"(?i){EDGE}[0-9a-f]{{16,}}{AFTER}", "<ID>"),
     (r"/[^\s'\"]+", "<PATH>"),
     (r"[0-9]+", "<NUM>"),
 ]

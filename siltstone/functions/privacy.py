@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import AFTER, EDGE, SPACE, SPACES
+
 # Reason and pattern, in the order in which they are tried.
 PATTERNS: list[tuple[str, str]] = [
     ("private_key_block", r"-----BEGIN (?:RSA |EC |DSA |OPENSSH |PGP |ENCRYPTED )?PRIVATE KEY(?: BLOCK)?-----"),
@@ -14,19 +16,19 @@ PATTERNS: list[tuple[str, str]] = [
     ("supabase_secret", r"sb_secret_[A-Za-z0-9_-]{20,}"),
     ("supabase_publishable", r"sb_publishable_[A-Za-z0-9_-]{20,}"),
     ("github_token", r"(?:gh[posur]_|github_pat_)[A-Za-z0-9_]{20,}"),
-    ("voyage_key", r"\bpa-[A-Za-z0-9_-]{40,}"),
-    ("aws_access_key_id", r"\b(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{16}\b"),
-    ("stripe_key", r"\b[rs]k_live_[A-Za-z0-9]{16,}"),
+    ("voyage_key", rf"{EDGE}pa-[A-Za-z0-9_-]{{40,}}"),
+    ("aws_access_key_id", rf"{EDGE}(?:AKIA|ASIA|ABIA|ACCA)[0-9A-Z]{{16}}{AFTER}"),
+    ("stripe_key", rf"{EDGE}[rs]k_live_[A-Za-z0-9]{{16,}}"),
     ("slack_token", r"xox[baprs]-[A-Za-z0-9-]{10,}"),
-    ("npm_token", r"\bnpm_[A-Za-z0-9]{36}\b"),
+    ("npm_token", rf"{EDGE}npm_[A-Za-z0-9]{{36}}{AFTER}"),
     ("sendgrid_key", r"SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,}"),
-    ("env_var_secret", r"\b[A-Z][A-Z0-9_]{2,}_(?:KEY|SECRET|TOKEN|PASSWORD|PWD)\s*[=:]\s*['\"]?[A-Za-z0-9+/=_-]{16,}"),
-    ("bearer_token", r"Bearer\s+[A-Za-z0-9._-]{30,}"),
-    ("password", r"(?i)\b(?:password|pwd|passwd)\s*[:=]\s*['\"][^'\"]{6,}['\"]"),
-    ("password_unquoted", r"(?i)\b(?:password|passwd|pwd)\s*[:=]\s*[^\s'\"]{8,}"),
+    ("env_var_secret", rf"{EDGE}[A-Z][A-Z0-9_]{{2,}}_(?:KEY|SECRET|TOKEN|PASSWORD|PWD){SPACE}*[=:]{SPACE}*['\"]?[A-Za-z0-9+/=_-]{{16,}}"),
+    ("bearer_token", rf"Bearer{SPACE}+[A-Za-z0-9._-]{{30,}}"),
+    ("password", rf"(?i){EDGE}(?:password|pwd|passwd){SPACE}*[:=]{SPACE}*['\"][^'\"]{{6,}}['\"]"),
+    ("password_unquoted", rf"(?i){EDGE}(?:password|passwd|pwd){SPACE}*[:=]{SPACE}*[^{SPACES}'\"]{{8,}}"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    ("postgres_url_with_creds", r"postgres(?:ql)?://[^:\s]+:[^@\s]+@"),
-    ("db_url_with_creds", r"(?:mysql|mongodb(?:\+srv)?|redis|amqp)://[^:\s]+:[^@\s]+@"),
+    ("postgres_url_with_creds", rf"postgres(?:ql)?://[^:{SPACES}]+:[^@{SPACES}]+@"),
+    ("db_url_with_creds", rf"(?:mysql|mongodb(?:\+srv)?|redis|amqp)://[^:{SPACES}]+:[^@{SPACES}]+@"),
     ("env_path_read", r"['\"]?(?:\.env(?:\.[\w-]+)?|\.secrets/[\w.-]+|op-service-account-token|master\.env)['\"]?"),
 ]
 # The default salt and the lengths of what is reported.

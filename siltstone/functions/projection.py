@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import AFTER, EDGE
+
 #: The superset of all content blocks; a tool's input stays JSON.
 BLOCK = "type string, text string, thinking string, id string, name string, input string, tool_use_id string, content string, is_error boolean"
 ENTRY = (
@@ -87,7 +89,7 @@ def uses_own_tool(entry_type: Column, content: Column, product: str) -> Column:
 def names_product(text: Column, product: str) -> Column:
     from .text import literal
 
-    return F.coalesce(text.rlike(rf"(?i)(?<![A-Za-z0-9_]){literal(product)}(?![A-Za-z0-9_])"), F.lit(False))
+    return F.coalesce(text.rlike(rf"(?i){EDGE}{literal(product)}{AFTER}"), F.lit(False))
 
 
 def is_meta_message(entry_type: Column, content: Column, product: str) -> Column:

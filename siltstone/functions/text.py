@@ -8,11 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .patterns import AFTER, EDGE, SPACE
+
 # Limits and markers of stored and shown text.
 DOCUMENT_CHARS, DOCUMENT_CUT = 400_000, "\n\n[...session truncated for context...]\n\n"
 SNIPPET_CHARS, CITED_CHARS, PROMPT_CHARS = 300, 200, 1500
-#: White space as the transcripts' own language trims it.
-SPACE = r"[\s\x0B   -     　﻿]"
 
 
 def trim(text: Column) -> Column:
@@ -62,7 +62,7 @@ def literal(term: str) -> str:
 
 def scrub_identity(text: Column, usernames: Sequence[str] = (), project_refs: Sequence[str] = (), names: Sequence[str] = ()) -> Column:
     """Secret references, project references, home folders, user names and names as neutral marks, in this order."""
-    word = lambda t: rf"(?<![A-Za-z0-9_]){literal(t)}(?![A-Za-z0-9_])"
+    word = lambda t: rf"{EDGE}{literal(t)}{AFTER}"
     out = F.regexp_replace(text, r"op://\S+", "<secret-ref>")
     for ref in filter(None, project_refs):
         out = F.replace(out, F.lit(ref), F.lit("<project-ref>"))
@@ -92,8 +92,7 @@ def estimated_tokens(text: Column) -> Column:
 
 def search_mode(query: Column) -> Column:
     """'current' for a question about the present state, else 'balanced'."""
-    start, end = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
-    found = [query.rlike(f"(?i){start}(?:{p}){end}") for p in CURRENT_STATE]
+    found = [query.rlike(f"(?i){EDGE}(?:{p}){AFTER}") for p in CURRENT_STATE]
     out = found[0]
     for f in found[1:]:
         out = out | f

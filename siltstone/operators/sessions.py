@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.patterns import AFTER, EDGE
+
 # The sampler's defaults and marks, and the prompt's length.
 SAMPLE_CHUNKS, SAMPLE_ALL, PROMPT_CHARS = 12, 40, 24_000
-MARKERS = r"(?i)\[Tool error\]|(?<![A-Za-z0-9_])(?:decided|decision)(?![A-Za-z0-9_])"
+MARKERS = rf"(?i)\[Tool error\]|{EDGE}(?:decided|decision){AFTER}"
 
 
 def rollup(entries: DataFrame, session: str, order: str, timestamp: str, cwd: str | None = None, title: str | None = None) -> DataFrame:

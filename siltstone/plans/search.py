@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as texts
+from ..functions.patterns import AFTER, EDGE
 from ..operators import indexes, rank
 from .providers import OverlapReranker, Reranker, rerank as reranked
 
@@ -20,7 +21,7 @@ def resolve_mode(mode: str, query: str) -> str:
         return mode
     import re
 
-    return "current" if any(re.search(rf"(?i)(?<![A-Za-z0-9_])(?:{p})(?![A-Za-z0-9_])", query) for p in texts.CURRENT_STATE) else "balanced"
+    return "current" if any(re.search(rf"(?i){EDGE}(?:{p}){AFTER}", query) for p in texts.CURRENT_STATE) else "balanced"
 
 
 def hybrid_search(
