@@ -9,8 +9,9 @@ ANCHORS rarest words, is the alignment's share. Where it reaches SHARE the key p
 alignment says; score and best come from alignments that were verified in this way, and are 0 and null without any.
 
 Everything is row by row in built-in array functions; only the template words' document frequencies (a fixed
-vocabulary) reach the driver. Work per document is its words, plus a sort of its anchors' places and one fold over
-them of constant state. Documents without an indexed word skip the fold.
+vocabulary) reach the driver. Work per document is its words, plus one look at the index for the words that it holds;
+only where a template's words that are there could reach the share are their places lined up, sorted and folded with a
+state of constant size.
 
 Defined results: a null text has no words; texts of any length are read whole; repeated rows and null ids are rows of
 their own; of templates with equal shares the first is `best`; an empty table gives an empty result; other columns pass
@@ -29,7 +30,8 @@ from pyspark.sql import types as T
 
 from .common import fresh_name, making_room, whole_text
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words, once A-Z is lower-cased; and what parts them.
+WORD, GAP = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ANCHORS, INDEXED, SHARE = 6, 12, 0.6
 #: The phrases whose places are counted, and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -93,7 +95,7 @@ def templates(notices: list[tuple[str, str, str]] = NOTICES) -> list[Template]:
 def words_of(text: Column) -> Column:
     """The words, A-Z in lower case."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.regexp_extract_all(F.translate(text, upper, upper.lower()), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(text, upper, upper.lower()), GAP), "")
 
 
 def inverse_frequencies(docs: DataFrame, text_col: str, vocabulary: set[str]) -> dict[str, float]:
@@ -122,12 +124,12 @@ def scan(docs: DataFrame, text_col: str = "text", notices: list[tuple[str, str,
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "best"]
     docs = making_room(docs, added, keep=(text_col,))
     kept = [f"`{c}`" for c in docs.columns if c != text_col]
-    n = {k: fresh_name(docs, k) for k in ("words", "places", "held", "starts", "lined", "sums")}
+    n = {k: fresh_name(docs, k) for k in ("words", "places", "held", "present", "starts", "lined", "sums")}
     words = F.col(n["words"])
     word = lambda i: F.get(words, i)
     indexed = sorted({w for _, ws in lookups for w, _, _ in ws})
-    seek = sorted({*indexed, *(p[0] for p, _ in phrases)})
-    places = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: word(i).isin(seek))
+    everywhere = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+    places = F.filter(everywhere, lambda i: word(i).isin(sorted({p[0] for p, _ in phrases})))
     stands = lambda phrase, i: F.slice(words, i + 1, len(phrase)) == F.array(*map(F.lit, phrase))
 
     def places_of(k: int, phrase: list[str]) -> Column:
@@ -136,20 +138,29 @@ def scan(docs: DataFrame, text_col: str = "text", notices: list[tuple[str, str,
 
     # Places of the base phrases: (start, number of the phrase).
     starts = F.flatten(F.array(*[places_of(k, p) for k, (p, _) in enumerate(phrases)]))
-    held = F.array_distinct(F.transform(F.col(n["places"]), word))
-
-    def literal(value: str, kind: str) -> Column:
-        return F.from_json(F.lit(value), kind)
-
-    # The document's rarest words of each template, as (word, template, place in it, share).
-    table = json.dumps([[{"w": w, "t": k, "at": at, "s": s} for w, at, s in ws] for k, ws in lookups])
-    rarest = F.transform(
-        literal(table, "array<array<struct<w:string,t:int,at:array<int>,s:double>>>"), lambda ws: F.slice(F.filter(ws, lambda x: F.array_contains(F.col(n["held"]), x["w"])), 1, ANCHORS))
-    # Places of each such word in the document, against its places in the template.
-    by_word = F.flatten(rarest)
+    held = F.array_intersect(words, F.array(*map(F.lit, indexed)))
+    # The index: (template, word, its places in the template, its share), the rarest of each template first.
+    entry = "array<struct<t:int,w:string,at:array<int>,s:double>>"
+    index = F.from_json(F.lit(json.dumps([{"t": k, "w": w, "at": at, "s": s} for k, ws in lookups for w, at, s in ws])), entry)
+    present = F.when(F.size(n["held"]) > 0, F.filter(index, lambda x: F.array_contains(F.col(n["held"]), x["w"]))).otherwise(F.array().cast(entry))
+    # Templates of which the document's rarest words could reach the share; few documents have any.
+    count = "struct<t:int,n:int,s:double,could:array<int>>"
+
+    def weigh(acc: Column, x: Column) -> Column:
+        same = acc["t"] == x["t"]
+        taken = F.when(same, acc["n"]).otherwise(0)
+        before = F.when(same, acc["s"]).otherwise(0.0)
+        total = before + F.when(taken < ANCHORS, x["s"]).otherwise(0.0)
+        reached = (total >= SHARE - 1e-9) & (before < SHARE - 1e-9)
+        return F.struct(x["t"].alias("t"), (taken + 1).alias("n"), total.alias("s"), F.when(reached, F.concat(acc["could"], F.array(x["t"]))).otherwise(acc["could"]).alias("could")).cast(count)
+
+    none = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("n"), F.lit(0.0).alias("s"), F.array().cast("array<int>").alias("could")).cast(count)
+    could = F.aggregate(n["present"], none, weigh)["could"]
+    chosen = F.flatten(F.transform(could, lambda t: F.slice(F.filter(F.col(n["present"]), lambda x: x["t"] == t), 1, ANCHORS)))
+    # Places of each chosen word in the document, against its places in the template.
     lined = F.array_sort(F.flatten(F.transform(
-        by_word,
-        lambda x: F.flatten(F.transform(F.filter(F.col(n["places"]), lambda i: word(i) == x["w"]), lambda i: F.transform(x["at"], lambda p: F.struct(x["t"].alias("t"), (i - p).alias("at"), x["s"].alias("s"))))),
+        chosen,
+        lambda x: F.flatten(F.transform(F.filter(everywhere, lambda i: word(i) == x["w"]), lambda i: F.transform(x["at"], lambda p: F.struct(x["t"].alias("t"), (i - p).alias("at"), x["s"].alias("s"))))),
     )))
     state = "struct<t:int,at:int,s:double,ok:boolean,best:double,best_t:int,mask:bigint>"
     start = F.struct(F.lit(-1).alias("t"), F.lit(0).alias("at"), F.lit(0.0).alias("s"), F.lit(False).alias("ok"), F.lit(0.0).alias("best"), F.lit(-1).alias("best_t"), F.lit(0).cast("long").alias("mask")).cast(state)
@@ -178,7 +189,7 @@ def scan(docs: DataFrame, text_col: str = "text", notices: list[tuple[str, str,
     numbered = F.array(*[F.struct(F.lit(label).alias("label"), F.lit(1 << k).cast("long").alias("bit")) for k, label in enumerate(label_names)])
     own = F.transform(F.filter(numbered, lambda x: sums["mask"].bitwiseAND(x["bit"]) != 0), lambda x: x["label"])
     out = docs.withColumn(n["words"], words_of(whole_text(text_col))).withColumn(n["places"], places)
-    out = out.withColumns({n["starts"]: starts, n["held"]: held}).withColumn(n["lined"], lined).withColumn(n["sums"], F.aggregate(n["lined"], start, add))
+    out = out.withColumns({n["starts"]: starts, n["held"]: held}).withColumn(n["present"], present).withColumn(n["lined"], lined).withColumn(n["sums"], F.aggregate(n["lined"], start, add))
     at = F.transform(F.col(n["starts"]), lambda s: s["at"])
     names = F.array(*[F.lit(t.label) for t in known])
     return out.select(
