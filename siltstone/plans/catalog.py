@@ -226,17 +226,10 @@ def _sessions(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("""SELECT conv_id AS session_id, strftime(min(ts), '%Y-%m-%d %H:%M') AS started_at, strftime(max(ts), '%Y-%m-%d %H:%M') AS ended_at, count(*) AS message_count,
-    arg_min(role, turn) AS project_path, arg_max(left(text, 30), turn) FILTER (WHERE role = 'assistant') AS summary
+    arg_min(role, turn) AS project_path, arg_max(sha256(text), turn) FILTER (WHERE role = 'assistant') AS summary_sha256
     FROM (SELECT *, TIMESTAMP '2024-01-01' + to_hours(conv_id::INT) + to_minutes(turn::INT) AS ts FROM conversations) GROUP BY conv_id""")
 def session_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """The first role stands for the first working folder, the last assistant's words for the last title."""
-    t = turns(spark, d).withColumns({"at": F.date_format("occurred_at", "yyyy-MM-dd HH:mm"), "title": F.when(F.col("role") == "assistant", F.substring("text", 1, 30))})
-    return sessions.rollup(t, "session_id", "turn_index", "at", "role", "title")
-
-
-@registered()
-def session_rollup_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The title is all of the last assistant's words, hashed; session_rollup and its SQL see 30 characters. No SQL: a test holds it against plain Python."""
+    """The first role stands for the first working folder, all of the last assistant's words, hashed, for the last title."""
     t = turns(spark, d).withColumns({"at": F.date_format("occurred_at", "yyyy-MM-dd HH:mm"), "title": F.when(F.col("role") == "assistant", F.sha2("text", 256))})
     return sessions.rollup(t, "session_id", "turn_index", "at", "role", "title").withColumnRenamed("summary", "summary_sha256")
 
@@ -493,16 +486,10 @@ def sanitize_text(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "documents").select("doc_id", F.sha2(texts.sanitize(dirty), 256).alias("text_sha256"))
 
 
-@registered(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace('at /home/ann/x and /home/annex by ann for proj' || doc_id % 3 || ' key op://vault/k' || doc_id || ' ' || left(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 40),
-    'op://\S+', '<secret-ref>', 'g'), 'proj1', '<project-ref>'), '/home/ann(/|$)', '$HOME\1', 'g'), '\bann\b', '<user>', 'g'), '\bthe\b', '<name>', 'g'), '$^', '') AS scrubbed FROM documents""")
+@registered(r"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace('at /home/ann/x and /home/annex by ann for proj' || doc_id % 3 || ' key op://vault/k' || doc_id || ' ' || coalesce(text, ''),
+    'op://\S+', '<secret-ref>', 'g'), 'proj1', '<project-ref>'), '/home/ann(/|$)', '$HOME\1', 'g'), '\bann\b', '<user>', 'g'), '\bthe\b', '<name>', 'g') AS t FROM documents) SELECT doc_id, length(t) AS chars, sha256(t) AS scrubbed_sha256 FROM r""")
 def identity_scrub(spark: SparkSession, d: str) -> DataFrame:
-    raw = F.expr("concat('at /home/ann/x and /home/annex by ann for proj', doc_id % 3, ' key op://vault/k', doc_id, ' ', left(regexp_replace(text, '[^A-Za-z ]', ''), 40))")
-    return read(spark, d, "documents").select("doc_id", texts.scrub_identity(raw, ["ann"], ["proj1"], ["the"]).alias("scrubbed"))
-
-
-@registered()
-def identity_scrub_whole(spark: SparkSession, d: str) -> DataFrame:
-    """The whole text, as it stands, after the same head; identity_scrub and its SQL see 40 letters of it. No SQL: a test holds it against Python's re."""
+    """The whole text, as it stands, after a head that holds what is to be scrubbed."""
     raw = F.expr("concat('at /home/ann/x and /home/annex by ann for proj', doc_id % 3, ' key op://vault/k', doc_id, ' ', coalesce(text, ''))")
     scrubbed = texts.scrub_identity(raw, ["ann"], ["proj1"], ["the"])
     return read(spark, d, "documents").select("doc_id", F.length(scrubbed).cast("long").alias("chars"), F.sha2(scrubbed, 256).alias("scrubbed_sha256"))
@@ -619,19 +606,20 @@ def meta_flags(spark: SparkSession, d: str) -> DataFrame:
 _TOOLS = ["Read", "Edit", "Write", "Bash", "Task", "Grep", "Glob", "WebFetch", "WebSearch", "TodoWrite", "Other"]
 
 
-@registered("""WITH t AS (SELECT doc_id, regexp_replace(left(text, 90), '[^A-Za-z ]', '', 'g') AS v, doc_id % 11 AS k FROM documents)
-    SELECT doc_id, CASE k WHEN 0 THEN '[Read: ' || v || ']' WHEN 1 THEN '[Edit: ' || v || ' (' || left(v, 40) || '...)]' WHEN 2 THEN '[Write: ' || v || ']' WHEN 3 THEN '[Bash: ' || left(v, 60) || ']'
-    WHEN 4 THEN '[Task: "' || left(v, 50) || '" → general-purpose]' WHEN 5 THEN '[Grep: ?]' WHEN 6 THEN '[Glob: ?]' WHEN 7 THEN '[WebFetch: ' || left(v, 60) || ']' WHEN 8 THEN '[WebSearch: ' || v || ']' WHEN 9 THEN '[TodoWrite]' ELSE '[Other]' END AS line FROM t""")
+@registered("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS v, doc_id % 11 AS k FROM documents)
+    SELECT doc_id, sha256(CASE k WHEN 0 THEN '[Read: ' || v || ']' WHEN 1 THEN '[Edit: ' || v || ' (' || left(v, 40) || '...)]' WHEN 2 THEN '[Write: ' || v || ']' WHEN 3 THEN '[Bash: ' || left(v, 60) || ']'
+    WHEN 4 THEN '[Task: "' || left(v, 50) || '" → general-purpose]' WHEN 5 THEN '[Grep: ?]' WHEN 6 THEN '[Glob: ?]' WHEN 7 THEN '[WebFetch: ' || left(v, 60) || ']' WHEN 8 THEN '[WebSearch: ' || v || ']' WHEN 9 THEN '[TodoWrite]' ELSE '[Other]' END) AS line_sha256 FROM t""")
 def tool_one_liners(spark: SparkSession, d: str) -> DataFrame:
-    v = F.regexp_replace(F.substring("text", 1, 90), "[^A-Za-z ]", "")
+    """Arguments of all letters and spaces of the text; the operator's own lengths cut."""
+    v = F.regexp_replace("text", "[^A-Za-z ]", "")
     args = F.to_json(F.struct(*[v.alias(k) for k in ("file_path", "old_string", "command", "description", "url", "query")]))
     name = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.col("doc_id") % 11 + 1).cast("int"))
-    return read(spark, d, "documents").select("doc_id", projection.one_liner(name, args).alias("line"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(projection.one_liner(name, args), 256).alias("line_sha256"))
 
 
 @registered()
 def tool_one_liners_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Arguments of the whole text as it stands, cut by the operator's own lengths only; tool_one_liners and its SQL see 90 characters. No SQL: a test holds it against plain Python."""
+    """Arguments of the whole text as it stands, cut by the operator's own lengths only; no SQL: a test holds it against plain Python."""
     v = F.coalesce("text", F.lit(""))
     args = F.to_json(F.struct(*[v.alias(k) for k in ("file_path", "old_string", "command", "description", "pattern", "url", "query")]))
     name = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.pmod("doc_id", F.lit(len(_TOOLS))) + 1).cast("int"))

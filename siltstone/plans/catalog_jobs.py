@@ -221,7 +221,7 @@ def vector_index_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Cells that an approximate search reads, of 32.
-PROBES = 8
+PROBES = 24
 
 _SC = "sc AS (SELECT conv_id * 1000000 + turn AS chunk_id, conv_id, turn, role, text, e.embedding::DOUBLE[] AS v FROM conversations JOIN embeddings e ON e.vec_id = (conv_id * 8 + turn) % (SELECT count(*) FROM embeddings))"
 

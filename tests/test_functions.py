@@ -167,7 +167,7 @@ def test_identity_scrub_reaches_the_end_of_a_text(spark, tmp_path):
             out = re.sub(rf"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])", mark, out)
         return k, len(out), hashlib.sha256(out.encode()).hexdigest()
 
-    assert sorted(map(tuple, catalog.identity_scrub_whole(spark, str(tmp_path)).collect())) == [brute(*r) for r in rows]
+    assert sorted(map(tuple, catalog.identity_scrub(spark, str(tmp_path)).collect())) == [brute(*r) for r in rows]
 
 
 def test_one_liners_hold_whole_arguments(spark, tmp_path):
@@ -193,5 +193,5 @@ def test_session_titles_are_whole(spark, tmp_path):
 
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", "first"), (1, 2, "assistant", "same beginning of thirty chars " + "a" * 500), (1, 3, "user", "x"), (2, 0, "assistant", "same beginning of thirty chars b"), (3, 0, "user", "alone")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = {r.session_id: r.summary_sha256 for r in catalog.session_rollup_whole(spark, str(tmp_path)).collect()}
+    got = {r.session_id: r.summary_sha256 for r in catalog.session_rollup(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256(rows[2][3].encode()).hexdigest(), 2: hashlib.sha256(rows[4][3].encode()).hexdigest(), 3: None}
