@@ -8,9 +8,9 @@ Hot groups: a text that is repeated more often than a fair share of a partition
 each a run of its own; the runs' sums, one row each, are put together afterwards. So no group, not
 even one with a third of all rows, has to pass through one task.
 
-Defined results: a null text equals the empty text; null identifiers rank lowest; of repeated rows with
-the same identifier exactly one stays; an empty table gives an empty result; columns of any name pass
-through untouched.
+Defined results: a null text equals the empty text; texts of any length are compared whole; null identifiers rank lowest; of
+repeated rows with the same identifier exactly one stays, whichever; an empty table gives an empty result; columns
+of any name pass through untouched.
 """
 
 from __future__ import annotations

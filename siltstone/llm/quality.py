@@ -7,9 +7,10 @@ weighs the rules and drops most. What is left compiles into one Spark expression
 Only statistics of the text are inputs: no label, language, source or id. Fitting uses a bounded sample
 of labelled rows (SAMPLE, the least hashes of the id); only their statistics reach the driver.
 
-Defined results: a null text is the empty text, whose statistics are 0; rows without a label, or with a null
-one, are never learned from; with labels of one class only, or none, every score is the smoothed share of
-label 1; an empty table gives an empty result.
+Defined results: a null text is the empty text, whose statistics are 0; texts of any length are read whole; rows without a
+label, or with a null one, are never learned from; repeated rows are scored alike and learned from as often as
+they are labelled; with labels of one class only, or none, every score is the smoothed share of label 1; an empty table
+gives an empty result; other columns pass through, and the score takes the place of a column of its name.
 """
 
 from __future__ import annotations
