@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")
 
 
 def parse(query: str) -> list[list[tuple[bool, list[str]]]]:
@@ -48,8 +48,14 @@ def matches(tokens_: Column, query: str) -> Column:
     return reduce(Column.__or__, alternatives) if alternatives else F.lit(False)
 
 
+def could_match(text: Column, query: str) -> Column:
+    """Whether a text holds all wanted words of an alternative as stretches: a cheap look that passes every text that matches, before it is cut into tokens."""
+    low = F.lower(text)
+    alternatives = [[F.contains(low, F.lit(w)) for wanted, words in terms if wanted for w in words] for terms in parse(query)]
+    return reduce(Column.__or__, [reduce(Column.__and__, some, text.isNotNull()) for some in alternatives]) if alternatives else F.lit(False)
+
+
 def score(tokens_: Column, query: str) -> Column:
     """Occurrences of the query's words per token."""
-    wanted = F.array(*map(F.lit, terms_of(query) or [""]))
-    hits = F.size(F.filter(tokens_, lambda t: F.array_contains(wanted, t)))
+    hits = reduce(Column.__add__, [F.size(tokens_) - F.size(F.array_remove(tokens_, w)) for w in terms_of(query)], F.lit(0))
     return F.coalesce(F.try_divide(hits.cast("double"), F.size(tokens_).cast("double")), F.lit(0.0))

@@ -28,7 +28,8 @@ def semantic_topk(chunks: DataFrame, query: Sequence[float], k: int, id_col: str
 
 def lexical_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id", content: str = "content") -> DataFrame:
     """(id, score, rank) of the k best rows that match the query's words."""
-    hits = chunks.select(id_col, fulltext.tokens(F.col(content)).alias("_tokens")).filter(fulltext.matches(F.col("_tokens"), query))
+    some = chunks.filter(fulltext.could_match(F.col(content), query))
+    hits = some.select(id_col, fulltext.tokens(F.col(content)).alias("_tokens")).filter(fulltext.matches(F.col("_tokens"), query))
     top = hits.select(id_col, fulltext.score(F.col("_tokens"), query).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)).cast("long"))
 

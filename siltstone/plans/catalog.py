@@ -63,7 +63,8 @@ def semantic_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @registered(f"WITH {_ft('documents', 'doc_id', 'text')} SELECT chunk_id, round(score, 9) AS score FROM ft0")
 def lexical_match(spark: SparkSession, d: str) -> DataFrame:
-    rows = note_chunks(spark, d).select("chunk_id", fulltext.tokens(F.col("content")).alias("t")).filter(fulltext.matches(F.col("t"), WORDS))
+    some = note_chunks(spark, d).filter(fulltext.could_match(F.col("content"), WORDS))
+    rows = some.select("chunk_id", fulltext.tokens(F.col("content")).alias("t")).filter(fulltext.matches(F.col("t"), WORDS))
     return rows.select("chunk_id", F.round(fulltext.score(F.col("t"), WORDS), 9).alias("score"))
 
 
