@@ -47,7 +47,10 @@ def is_valid(a: Column, dimensions: int) -> Column:
 
 def hashed_embedding(tokens: Column, dimensions: int = 64) -> Column:
     """The offline embedder: signed feature hashing of tokens, of length 1 (zero where there are no tokens)."""
-    spots = F.transform(tokens, lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dimensions)).alias("at"), F.when(F.pmod(F.xxhash64(t, F.lit("sign")), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.aggregate(F.filter(spots, lambda s: s["at"] == k), F.lit(0.0), lambda acc, s: acc + s["sign"]))
-    size = norm(raw)
-    return F.transform(raw, lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0)).cast("float"))
+    code = lambda t: (F.pmod(F.xxhash64(t), F.lit(dimensions)) * 2 + F.pmod(F.xxhash64(t, F.lit("sign")), F.lit(2))).cast("int")
+    # Bound by arrays of one, so that tokens, codes and sums are worked out once a row and not once a dimension.
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    # How many of a dimension's even codes more than odd ones: each removal leaves the others.
+    sums = lambda c: F.array(*[(F.size(F.array_remove(c, 2 * k + 1)) - F.size(F.array_remove(c, 2 * k))).cast("double") for k in range(dimensions)])
+    unit = lambda raw: bound(norm(raw), lambda size: F.transform(raw, lambda x: F.coalesce(F.try_divide(x, size), F.lit(0.0)).cast("float")))
+    return F.when(tokens.isNotNull(), bound(F.transform(tokens, code), lambda c: bound(sums(c), unit)))
