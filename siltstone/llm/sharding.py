@@ -78,8 +78,10 @@ def shard_rows(docs: DataFrame, shards: int = 16, text_col: str = "text", id_col
     text = whole_text(text_col)
     where_of = F.pmod(F.xxhash64(text), F.lit(PLACES)).cast("int")
     counts = {r[0]: r[1] for r in docs.groupBy(where_of.alias("place")).count().collect()}  # at most PLACES rows
-    hot = sorted(p for p, n in counts.items() if n * PLACES > HOT * sum(counts.values()))  # under PLACES / HOT of them
-    cells = {(p, 0): n for p, n in counts.items() if p not in set(hot)}
+    total = sum(counts.values())
+    hot = sorted(p for p, n in counts.items() if n * PLACES > HOT * total)  # under PLACES / HOT of them
+    apart = set(hot)
+    cells = {(p, 0): n for p, n in counts.items() if p not in apart}
     cell_of = F.lit(0)
     if hot:
         own_cell = F.pmod(F.xxhash64(F.col(id_col), F.lit("cell")), F.lit(CELLS)).cast("int")
