@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _FREE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -170,3 +172,13 @@ def in_slices(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
             some, size = [], 0
     if some:
         yield some
+
+
+def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
+    """The texts of an Arrow column, null as empty, in runs of at most most bytes or one text; a run's strings are made when it is asked for."""
+    ends, low = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while low < len(column):
+        before = int(ends[low - 1]) if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield [t or "" for t in column.slice(low, high - low).to_pylist()]
+        low = high

@@ -9,7 +9,8 @@ budget, without encoding anything again.
 No piece holds a space mark after another character, so the table of a text is its words' tables, each
 added to the count before it. Words recur, and a worker keeps their whole tables, a byte an entry: totals, the
 counts at every prefix and the prefix that fits a budget are all read from them. Words of more than KEPT characters
-have their tables made for the texts at hand and not kept, so what a worker holds is bounded in bytes.
+have their tables made for the texts at hand and not kept, and a batch's texts become strings a slice at a time, so what a
+worker holds is bounded in bytes: two workers share an executor with its JVM, whose heap earlier steps have filled.
 
 Defined results: a null text is the empty text and has 0 tokens; special strings in a text are ordinary
 text; texts and words of any length are counted whole, words of up to the widest matrix many at a time, longer ones
@@ -29,10 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import making_room, ship
-from .kernels import Grown, HashMap, edges_of, in_slices
+from .kernels import Grown, HashMap, edges_of, text_slices
 
-#: Words whose tables a worker keeps, then it starts anew; and their characters at most.
-REMEMBERED, KEPT = 700_000, 64
+#: Bytes of words and tables that a worker keeps, then it starts anew; about what a word takes beside its characters and entries; and a kept word's characters at most.
+REMEMBERED, A_WORD, KEPT = 32 << 20, 140, 64
 #: Pairs of pieces whose order a worker remembers; then it starts anew.
 PAIRS = 1_000_000
 _CLASSES = (4, 6, 8, 10, 12, 16, 20, 28, 40, 64, 128, 256)
@@ -95,8 +96,7 @@ class PrefixCounter:
 
     def _pair(self, a: int, b: int) -> bool:
         left, right = self.pieces[a], self.pieces[b]
-        ok = self.follows[a << 20 | b] = self._merge([*left, *right]) == [left, right]
-        return ok
+        return self._merge([*left, *right]) == [left, right]
 
     def table(self, word: str) -> np.ndarray:
         """Token counts of the prefixes of 1, 2, ... characters of a word."""
@@ -114,7 +114,9 @@ class PrefixCounter:
                 else:
                     ok = follows.get(before << 20 | piece)
                     if ok is None:
-                        ok = self._pair(before, piece)
+                        if len(follows) >= PAIRS:
+                            follows.clear()
+                        ok = follows[before << 20 | piece] = self._pair(before, piece)
                 if ok:
                     last[i], count[i] = piece, count[j] + 1
                     break
@@ -207,7 +209,7 @@ class PrefixCounter:
 
     def let_go(self) -> None:
         """Drop the tables of long words and of what was learned after them, or all where there are too many; numbers given out before end here."""
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) * A_WORD + 2 * self.entries.size > REMEMBERED:
             self._forget()
         elif self.late:
             first = min(self.seen[w] for w in self.late)
@@ -284,7 +286,7 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", budget: int |
         for batch in batches:
             rest = batch.drop_columns([text_col])
             at = 0
-            for texts in in_slices([t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]):
+            for texts in text_slices(batch.column(batch.schema.get_field_index(text_col))):
                 numbers = own.numbers([own.words(t) for t in texts])
                 n_tokens = [int(own.counts_of(x).sum()) for x in numbers]
                 fits = [] if budget is None else [own.fits(x, budget) for x in numbers]

@@ -3,16 +3,18 @@
 import base64
 import hashlib
 import random
+import sys
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tiktoken = pytest.importorskip("tiktoken")
 sentencepiece = pytest.importorskip("sentencepiece")
 
-from siltstone.llm import bpe, token_counts  # noqa: E402
+from siltstone.llm import bpe, kernels, token_counts  # noqa: E402
 
 RANKS, PIECES = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model")
 
@@ -78,6 +80,27 @@ def test_a_full_pair_memory_starts_anew(pieces, monkeypatch):
         assert own.count(t) == len(pieces.encode(t))
 
 
+def test_a_worker_keeps_words_and_pairs_within_bytes(pieces):
+    """What stays between slices is bounded in bytes, not in words, and pairs are held once."""
+    own, rnd = token_counts.PrefixCounter(PIECES), random.Random(5)
+    words = ["".join(rnd.choice("abcdefghiklmnoprstuvwz") for _ in range(12)) for _ in range(320_000)]
+    for k in range(0, len(words), 40_000):
+        own.numbers([own.words(" ".join(words[k : k + 40_000]))])
+        own.let_go()
+    assert sum(map(sys.getsizeof, own.seen)) + sys.getsizeof(own.seen) + own.entries.room.nbytes + own.starts.room.nbytes + own.sizes.room.nbytes < 48 << 20
+    assert not own.follows
+    assert own.count(words[0]) == len(pieces.encode(words[0]))
+
+
+def test_texts_become_strings_a_slice_at_a_time():
+    texts = ["é" * 700, None, "", "x" * 5000, *["word " * 20] * 300]
+    column = pa.array(["skipped", *texts]).slice(1)
+    got = list(kernels.text_slices(column, 2000))
+    assert [t for part in got for t in part] == [t or "" for t in texts]
+    assert all(len(part) == 1 or sum(len(t.encode()) for t in part) <= 2000 for part in got)
+    assert list(kernels.text_slices(pa.array([], pa.string()))) == []
+
+
 def test_a_full_memory_starts_anew(library, monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 5)
     codec = bpe.Codec(RANKS, public_tokenizers.PATTERN)
