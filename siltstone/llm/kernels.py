@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,11 +175,36 @@ def in_slices(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
         yield some
 
 
+def _runs(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts that together have at most most bytes, or one text."""
+    ends, low = np.cumsum(lengths, dtype=np.int64), 0
+    while low < len(lengths):
+        high = max(low + 1, int(np.searchsorted(ends, (int(ends[low - 1]) if low else 0) + most, "right")))
+        yield low, high
+        low = high
+
+
 def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[list[str]]:
     """The texts of an Arrow column, null as empty, in runs of at most most bytes or one text; a run's strings are made when it is asked for."""
-    ends, low = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
-    while low < len(column):
-        before = int(ends[low - 1]) if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, before + most, "right")))
+    for low, high in _runs(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), most):
         yield [t or "" for t in column.slice(low, high - low).to_pylist()]
-        low = high
+
+
+def raw_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, edges) of such runs of texts, as they stand in the Arrow column."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if not len(column):
+        return
+    edges = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for low, high in _runs(np.diff(edges), most):
+        yield raw[edges[low] : edges[high]], edges[low : high + 1] - edges[low]
+
+
+def give_back() -> None:
+    """Return the memory that a task has freed to the system: Spark keeps the worker for other operators' tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import making_room, ship
-from .kernels import Grown, HashMap, edges_of, text_slices
+from .kernels import Grown, HashMap, edges_of, give_back, text_slices
 
 #: Bytes of words and tables that a worker keeps, then it starts anew; about what a word takes beside its characters and entries; and a kept word's characters at most.
 REMEMBERED, A_WORD, KEPT = 32 << 20, 140, 64
@@ -297,5 +297,6 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", budget: int |
                 own.let_go()
                 yield pa.RecordBatch.from_arrays(columns, [*rest.schema.names, *(f.name for f in added)])
                 at += len(texts)
+        give_back()
 
     return df.mapInArrow(kernel, T.StructType([*kept, *added]))

@@ -1,8 +1,10 @@
 """Quality classifier, language model, license scan and the pipeline against held-out rows and brute force."""
 
+import glob
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -157,6 +159,43 @@ def test_counts_beyond_a_byte_and_many_shards(spark, monkeypatch):
         assert math.isclose(r.score, sum(math.log10(p(tuple(t[max(0, i - 2) : i]), t[i])) for i in range(1, len(t))), rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_in_passes(spark, monkeypatch, order):
+    """Each pass counts its own shards' part of the text, takes a part of the disk, and the model is the same."""
+    rnd = random.Random(order)
+    words = "a a a b b c d e f g".split() + [f"x{k}" for k in range(200)]
+    docs = spark.createDataFrame([(k, " ".join(rnd.choice(words) for _ in range(rnd.choice([0, 1, 2, 40, 300])))) for k in range(600)], "doc_id long, text string").repartition(4)
+    names, files, real = [], [], kneser_ney.written
+
+    def measured(df, name):
+        held, out = shuffle_files(spark), real(df, name)
+        names.append(name)
+        for _ in range(50):  # Spark deletes them beside the next job
+            if not (left := shuffle_files(spark) - held):
+                break
+            time.sleep(0.2)
+        files.extend(left)
+        return out
+
+    monkeypatch.setattr(kneser_ney, "written", measured)
+    whole = kneser_ney.train(docs, order=order)
+    monkeypatch.setattr(kneser_ney, "PASS_BYTES", 10_000)
+    parts = kneser_ney.train(docs, order=order)
+    assert sum(name.startswith("lm-blocks-") and name[10:].isdigit() for name in names) == 1 + kneser_ney.PASSES
+    assert parts.shards % kneser_ney.PASSES == 0
+    assert (whole.words, whole.train, whole.pairs, whole.discounts, whole.word_discounts) == (parts.words, parts.train, parts.pairs, parts.discounts, parts.word_discounts)
+    score = lambda model: {r.doc_id: (r.n_known, r.base_score, r.score) for r in kneser_ney.score(docs, model).collect()}
+    got, want = score(parts), score(whole)
+    assert all(g[0] == w[0] and math.isclose(g[2], w[2], rel_tol=1e-9) for g, w in ((got[k], want[k]) for k in want)) and len(got) == 600
+    # A pass's shuffle files are gone when it has ended.
+    assert not files
+
+
+def shuffle_files(spark):
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    return set(glob.glob(f"{local}/**/shuffle_*.data", recursive=True))
+
+
 def test_language_model_query_knows_two_words_of_context(spark, tmp_path):
     from siltstone.llm import queries
 
