@@ -58,7 +58,7 @@ SPLIT = 16
 #: Tokens that a task counts before it sends blocks, and bytes of text for each shard at most.
 HELD, SHARD_BYTES = 4_000_000, 16 << 20
 #: Passes over the text, each for its own part of the shards, and the text below which fewer do.
-PASSES, PASS_BYTES = 4, 32 << 20
+PASSES, PASS_BYTES = 3, 32 << 20
 #: Bytes of text that are scored at a time.
 SLICE = 4 << 20
 
@@ -518,7 +518,7 @@ class _Arrays:
         key = f"{name}-{shard}"
         if key not in self.open:
             path = os.path.join(self.folder, f"{key}.npy")
-            self.open[key] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
+            self.open[key] = np.asarray(np.load(path, mmap_mode="r")) if os.path.exists(path) else None
         return self.open[key]
 
     def find(self, keys: np.ndarray, shard: np.ndarray, shards: int, name: str, level: int, width: int) -> np.ndarray:
@@ -576,6 +576,20 @@ def token_scores(model: NGrams, hashes: np.ndarray, edges: np.ndarray) -> tuple[
     return count[v_at], base[v_at], np.log10(p)
 
 
+def _slices(column: pa.Array) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """(hashes, tokens of each text) of short runs of texts, SLICE bytes together."""
+    some, size = [], 0
+    for raw, cuts in raw_slices(column):
+        hashes, edges = tokens(raw, cuts)
+        some.append((hashes, np.diff(edges)))
+        size += len(raw)
+        if size >= SLICE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def score(docs: DataFrame, model: NGrams, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_tokens, n_known, base_score, score and perplexity of each whole text."""
     ship(docs.sparkSession)
@@ -586,8 +600,9 @@ def score(docs: DataFrame, model: NGrams, text_col: str = "text") -> DataFrame:
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, rest = 0, batch.drop_columns([text_col])
-            for raw, cuts in raw_slices(batch.column(batch.schema.get_field_index(text_col)), SLICE):
-                hashes, edges = tokens(raw, cuts)
+            for some in _slices(batch.column(batch.schema.get_field_index(text_col))):
+                hashes, edges = (np.concatenate(x) for x in zip(*some, strict=True))
+                edges = edges_of(edges)
                 count, base, own = token_scores(model, hashes, edges)
                 sizes, starts = np.diff(edges), edges[:-1]
                 total = np.add.reduceat(own, starts)
