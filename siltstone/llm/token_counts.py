@@ -8,7 +8,8 @@ budget, without encoding anything again.
 
 No piece holds a space mark after another character, so the table of a text is its words' tables, each
 added to the count before it. Words recur, and a worker keeps their whole tables, a byte an entry: totals, the
-counts at every prefix and the prefix that fits a budget are all read from them. Words of more than KEPT characters
+counts at every prefix and the prefix that fits a budget are all read from them. Where only totals are asked for, it
+keeps the last entry of each table, by word, so a text is one look at each of its words. Words of more than KEPT characters
 have their tables made for the texts at hand and not kept, and a batch's texts become strings a slice at a time, so what a
 worker holds is bounded in bytes: two workers share an executor with its JVM, whose heap earlier steps have filled.
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,29 @@ from .kernels import Grown, HashMap, edges_of, give_back, text_slices
 REMEMBERED, A_WORD, KEPT = 32 << 20, 140, 64
 #: Pairs of pieces whose order a worker remembers; then it starts anew.
 PAIRS = 1_000_000
-_CLASSES = (4, 6, 8, 10, 12, 16, 20, 28, 40, 64, 128, 256)
+_CLASSES = (8, 12, 16, 24, 64, 256)
 _BASE = 0x9E3779B97F4A7C15
 #: The mark of a space inside pieces.
 MARK = "▁"
 _WORDS = re.compile(" +[^ ]*")
+#: The score of what doesn't merge.
+_NONE = float("-inf")
+
+
+class _Counts(dict):
+    """Counts of words; one that is missing is taken over from earlier ones, or counts 0 and is put down."""
+
+    def __init__(self, earlier: dict[str, int]) -> None:
+        self.earlier, self.new, self.chars = earlier, [], 0
+
+    def __missing__(self, word: str) -> int:
+        count = self.earlier.get(word)
+        if count is None:
+            self.new.append(word)
+            return 0
+        self[word] = count
+        self.chars += len(word)
+        return count
 
 
 class PrefixCounter:
@@ -58,12 +77,20 @@ class PrefixCounter:
         self.longest = max(map(len, self.scores))
         self.ids = {p: k for k, p in enumerate(self.scores)}
         self.pieces = list(self.scores)
-        # A piece that its own text isn't encoded to never occurs.
+        #: How each piece comes about: of every merge its score, and the first and the last symbol after it.
+        self.steps: list[list[tuple[float, str, str]]] = []
+        same = {p: p for p in self.pieces}
         for p in self.pieces:
-            if self._merge([*p]) != [p]:
+            symbols, steps = self._merge([*p])
+            self.steps.append([(s, same.get(a, a), same.get(b, b)) for s, a, b in steps])
+            if symbols != [p]:  # a piece that its own text isn't encoded to never occurs
                 del self.ids[p]
+        # Of each beginning of a piece: 2 * (its own piece's number + 1), or 0, and 1 if a longer piece begins so.
+        begins = {p[:k]: 1 for p in self.ids for k in range(1, len(p))}
+        for p, k in self.ids.items():
+            begins[p] = begins.get(p, 0) + 2 * (k + 1)
         self.by_hash = HashMap(18)
-        self.by_hash.insert(np.array([self._hash(p) for p in self.ids], np.uint64), np.fromiter(self.ids.values(), np.int64, len(self.ids)))
+        self.by_hash.insert(np.array([self._hash(p) for p in begins], np.uint64), np.fromiter(begins.values(), np.int64, len(begins)))
         self._forget_pairs()
         self._forget()
 
@@ -77,6 +104,8 @@ class PrefixCounter:
         self.starts, self.sizes, self.entries = Grown(np.int64), Grown(np.int64), Grown(np.uint8)
         self.large: dict[int, int] = {}
         self.late: list[str] = []  # words too long to keep
+        #: Tokens of words, without their first space, whose tables nobody asked for; and of those met before, in half the room each.
+        self.whole = _Counts({})
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -85,18 +114,43 @@ class PrefixCounter:
             h = (h * _BASE + ord(c) + 1) % 2**64
         return h
 
-    def _merge(self, symbols: list[str]) -> list[str]:
-        """Encode a short text: the best-scored, then leftmost, pair merges until none is left."""
-        while True:
-            found = [(-s, k) for k in range(len(symbols) - 1) if (s := self.scores.get(symbols[k] + symbols[k + 1])) is not None]
-            if not found:
-                return symbols
-            k = min(found)[1]
+    def _merge(self, symbols: list[str]) -> tuple[list[str], list[tuple[float, str, str]]]:
+        """Encode a short text: the best-scored, then leftmost, pair merges until none is left; and each merge's score, first and last symbol."""
+        score, steps = self.scores.get, []
+        found = [score(a + b, _NONE) for a, b in pairwise(symbols)]
+        while found and (best := max(found)) > _NONE:
+            k = found.index(best)
             symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            del found[k]
+            if k:
+                found[k - 1] = score(symbols[k - 1] + symbols[k], _NONE)
+            if k < len(found):
+                found[k] = score(symbols[k] + symbols[k + 1], _NONE)
+            steps.append((best, symbols[0], symbols[-1]))
+        return symbols, steps
 
     def _pair(self, a: int, b: int) -> bool:
-        left, right = self.pieces[a], self.pieces[b]
-        return self._merge([*left, *right]) == [left, right]
+        """Whether two pieces, joined, are encoded as those two: no merge across them is the best one, or the leftmost best, before both are whole."""
+        score, end = self.scores.get, (_NONE, "", "")
+        left, right = iter(self.steps[a]), iter(self.steps[b])
+        last, first = self.pieces[a][-1], self.pieces[b][0]
+        mine, other = next(left, end), next(right, end)
+        across = score(last + first, _NONE)
+        while True:
+            if across > mine[0] and across >= other[0]:
+                return False
+            if mine[0] >= other[0]:
+                if mine is end:
+                    return True
+                if mine[2] is not last:
+                    last = mine[2]
+                    across = score(last + first, _NONE)
+                mine = next(left, end)
+            else:
+                if other[1] is not first:
+                    first = other[1]
+                    across = score(last + first, _NONE)
+                other = next(right, end)
 
     def table(self, word: str) -> np.ndarray:
         """Token counts of the prefixes of 1, 2, ... characters of a word."""
@@ -138,41 +192,52 @@ class PrefixCounter:
             found = self.pairs.get(keys)
         return found > 0
 
+    def _hits(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(start in the flat text, length, piece) of every piece inside the words; a start is followed only as far as some piece begins so."""
+        start, stop = np.arange(len(codes), dtype=np.int32), np.repeat(edges_of(size)[1:].astype(np.int32), size)
+        sums, hits = codes + np.uint64(1), []
+        for k in range(1, self.longest + 1):
+            found = self.by_hash.get(sums)
+            own = np.flatnonzero(found > 1)
+            hits.append((start[own], np.full(len(own), k, np.int16), ((found[own] >> 1) - 1).astype(np.int32)))
+            on = np.flatnonzero((found > 0) & (found & 1 > 0) & (start + np.int32(k) < stop))
+            if not len(on):
+                break
+            start, stop = start[on], stop[on]
+            sums = sums[on] * np.uint64(_BASE) + codes[start + k] + np.uint64(1)
+        return tuple(np.concatenate(x) for x in zip(*hits, strict=True))
+
     def tables(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(flat, sizes): the tables of words of up to width characters, all at once, column by column."""
+        """(flat, sizes): the tables of words of up to width characters, all at once, place by place."""
         n = len(words)
         size = np.fromiter(map(len, words), np.int64, n)
-        codes = np.zeros((n, width), np.uint64)
-        codes[np.arange(width) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sums = np.zeros((n, width + 1), np.uint64)
-        for k in range(width):
-            sums[:, k + 1] = sums[:, k] * np.uint64(_BASE) + codes[:, k] + np.uint64(1)
-        power, hits = 1, []
-        for k in range(1, min(self.longest, width) + 1):
-            power = power * _BASE % 2**64
-            piece = self.by_hash.get(sums[:, k:] - sums[:, :-k] * np.uint64(power))
-            piece[np.arange(k, width + 1) > size[:, None]] = -1
-            row, start = np.nonzero(piece >= 0)
-            hits.append((start + k, row, start, piece[row, start]))
-        end, row, start, piece = (np.concatenate(x) for x in zip(*hits, strict=True))
-        order = np.argsort(end.astype(np.int16), kind="stable")
-        row, start, piece = row[order], start[order], piece[order]
-        parts = np.searchsorted(end[order], np.arange(1, width + 2))
-        last = np.full((n, width + 1), -1)
-        count = np.zeros((n, width + 1), np.int64)
-        in_bytes = 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        word = np.repeat(np.arange(n, dtype=np.int32), size)
+        place = np.arange(len(codes), dtype=np.int32) - np.repeat(edges_of(size)[:-1].astype(np.int32), size)
+        at = place * np.int32(n) + word  # the tables' order: place by place, all words
+        start, length, piece = self._hits(codes, size)
+        end = place[start].astype(np.int16) + length
+        order = np.argsort(end, kind="stable")
+        start, piece = start[order], piece[order]
+        parts = np.searchsorted(end[order], np.arange(1, width + 2).astype(np.int16))
+        row, origin = word[start], at[start]
+        last = np.full((width + 1) * n, -1, np.int32)
+        count = np.zeros((width + 1, n), np.int32)
+        flat = count.reshape(-1)
+        in_bytes = np.zeros((width, n), np.int8)
+        in_bytes.reshape(-1)[at] = 1 + (codes > 0x7F).astype(np.int8) + (codes > 0x7FF) + (codes > 0xFFFF)
         for i in range(1, width + 1):
-            count[:, i] = count[:, i - 1] + in_bytes[:, i - 1]  # where no piece ends: one token for each of the character's bytes
-            r, j, p = (x[parts[i - 1] : parts[i]] for x in (row, start, piece))
-            before = last[r, j]
+            np.add(count[i - 1], in_bytes[i - 1], out=count[i])  # where no piece ends: one token for each of the character's bytes
+            r, j, p = (x[parts[i - 1] : parts[i]] for x in (row, origin, piece))
+            before = last[j]
             ok = before < 0
             ask = np.flatnonzero(~ok)
             if len(ask):
                 ok[ask] = self._may_follow(before[ask], p[ask])
             r, j = r[ok], j[ok]
-            last[r, i] = p[ok]
-            count[r, i] = count[r, j] + 1
-        return count[:, 1:][np.arange(width) < size[:, None]], size
+            last[i * n : (i + 1) * n][r] = p[ok]
+            count[i][r] = flat[j] + 1
+        return flat[at + np.int32(n)].astype(np.int64), size
 
     def words(self, text: str) -> list[str]:
         """The words of a text, spaces in front; the model puts one before the text."""
@@ -181,32 +246,70 @@ class PrefixCounter:
         text = f" {text.replace(MARK, ' ')}"
         return _WORDS.findall(text) if "  " in text or text[-1] == " " else [*map(" ".__add__, text[1:].split(" "))]
 
+    def _keys(self, text: str) -> list[str]:
+        """The words of a text, each without its first space."""
+        if not text:
+            return []
+        text = text.replace(MARK, " ")
+        return [w[1:] for w in _WORDS.findall(f" {text}")] if "  " in text or text[0] == " " else text.split(" ")
+
     def numbers(self, texts: list[list[str]]) -> list[np.ndarray]:
         """The numbers of each text's words, learned where they are new."""
+        if self.whole or self.whole.earlier:
+            self.whole = _Counts({})
         if new := set().union(*texts).difference(self.seen):
             ordered = sorted(new, key=len)
             self.late += [w for w in ordered if len(w) > KEPT]
             self.learn(ordered)
         return [np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words)) for words in texts]
 
-    def learn(self, words: list[str]) -> None:
-        """Tables of words not seen before, in ascending order of length."""
+    def _learned(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(flat, sizes) of the tables of words in ascending order of length, some at a time."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
-        self.seen.update(zip(words, range(self.sizes.size, self.sizes.size + len(words)), strict=True))
         low = 0
         for width in (*_CLASSES, None):
             end = len(words) if width is None else int(np.searchsorted(sizes, width, "right"))
             step = 1 if width is None else max(1, (1 << 18) // width)
             for k in range(low, end, step):
                 part = words[k : min(k + step, end)]
-                flat, own = (self.table(part[0]), sizes[k : k + 1]) if width is None else self.tables(part, width)
-                self.starts.add(self.entries.size + edges_of(own)[:-1])
-                self.sizes.add(own)
-                for at in np.flatnonzero(flat > 255).tolist():
-                    self.large[self.entries.size + at] = int(flat[at])
-                self.entries.add(np.minimum(flat, 255).astype(np.uint8))
+                yield (self.table(part[0]), sizes[k : k + 1]) if width is None else self.tables(part, width)
             low = end
 
+    def learn(self, words: list[str]) -> None:
+        """Tables of words not seen before, in ascending order of length."""
+        self.seen.update(zip(words, range(self.sizes.size, self.sizes.size + len(words)), strict=True))
+        for flat, own in self._learned(words):
+            self.starts.add(self.entries.size + edges_of(own)[:-1])
+            self.sizes.add(own)
+            for at in np.flatnonzero(flat > 255).tolist():
+                self.large[self.entries.size + at] = int(flat[at])
+            self.entries.add(np.minimum(flat, 255).astype(np.uint8))
+
+    def totals(self, texts: list[str]) -> list[int]:
+        """The numbers of tokens of whole texts, where no prefix is asked for: words' totals are kept and not their tables. Words' numbers given out before end here."""
+        if self.seen:
+            self._forget()
+        known, new, out, lacking = self.whole, self.whole.new, [], []
+        for k, text in enumerate(texts):
+            before = len(new)
+            out.append(sum(map(known.__getitem__, self._keys(text))))
+            if len(new) > before:
+                lacking.append((k, before, len(new)))
+        if new:
+            ordered = sorted(set(new), key=len)
+            counts = [flat[edges_of(own)[1:] - 1] for flat, own in self._learned([*map(" ".__add__, ordered)])]
+            known.update(zip(ordered, np.concatenate(counts).tolist(), strict=True))
+            for k, low, high in lacking:
+                out[k] += sum(map(known.__getitem__, new[low:high]))
+            new.clear()
+            while ordered and len(ordered[-1]) >= KEPT:  # with its space too long to keep
+                del known[ordered.pop()]
+            known.chars += sum(map(len, ordered))
+        held = len(known) * A_WORD + 2 * known.chars
+        if held > REMEMBERED // 2:  # a single text may fill more than there is room for
+            self.whole, known.earlier = _Counts(known if held <= REMEMBERED * 3 // 4 else {}), {}
+        return out
+
     def let_go(self) -> None:
         """Drop the tables of long words and of what was learned after them, or all where there are too many; numbers given out before end here."""
         if len(self.seen) * A_WORD + 2 * self.entries.size > REMEMBERED:
@@ -282,13 +385,13 @@ def count_tokens(df: DataFrame, path: str, text_col: str = "text", budget: int |
     added += [T.StructField("fits_chars", T.LongType())] * (budget is not None) + [T.StructField("prefix_tokens", T.ArrayType(T.LongType()))] * prefixes
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = counter(path)
+        own, tables = counter(path), budget is not None or prefixes
         for batch in batches:
             rest = batch.drop_columns([text_col])
             at = 0
             for texts in text_slices(batch.column(batch.schema.get_field_index(text_col))):
-                numbers = own.numbers([own.words(t) for t in texts])
-                n_tokens = [int(own.counts_of(x).sum()) for x in numbers]
+                numbers = own.numbers([own.words(t) for t in texts]) if tables else []
+                n_tokens = [int(own.counts_of(x).sum()) for x in numbers] if tables else own.totals(texts)
                 fits = [] if budget is None else [own.fits(x, budget) for x in numbers]
                 columns = [*rest.slice(at, len(texts)).columns, pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n_tokens, pa.int64())]
                 columns += [pa.array(fits, pa.int64())] * (budget is not None)

@@ -141,3 +141,57 @@ def test_op2_on_hard_rows(hard, nothing, pieces):
     assert want == Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got)
     assert all(r.prefix_tokens[-1] == r.n_tokens and r.prefix_tokens[r.fits_chars] <= 64 for r in got)
     assert token_counts.count_tokens(nothing, PIECES).count() == 0
+
+
+def test_totals_equal_the_library(pieces, monkeypatch):
+    texts = [*odd_texts(600, 11), *ODD_SHAPES, "", " ", "  a", "a ", "▁a", "a  b ", "<s> </s>", "x" * 62 + " " + "y" * 63 + " " + "z" * 64]
+    want = [len(pieces.encode(t)) for t in texts]
+    own = token_counts.PrefixCounter(PIECES)
+    assert own.totals(texts) == want and own.totals(texts) == want and own.totals([]) == []
+    assert not own.seen and not own.entries.size  # no tables where only totals are asked for
+    assert max(map(len, own.whole)) < token_counts.KEPT and not own.whole.new
+    assert [own.count(t) for t in texts] == want and not own.whole  # one kind of memory at a time
+    for most in (2000, 40_000):
+        monkeypatch.setattr(token_counts, "REMEMBERED", most)
+        own = token_counts.PrefixCounter(PIECES)
+        assert [n for k in range(0, len(texts), 5) for n in own.totals(texts[k : k + 5])] == want
+
+
+def test_words_of_totals_are_kept_within_bytes(pieces):
+    own, rnd = token_counts.PrefixCounter(PIECES), random.Random(5)
+    words = ["".join(rnd.choice("abcdefghiklmnoprstuvwz") for _ in range(12)) for _ in range(320_000)]
+    for k in range(0, len(words), 20_000):
+        own.totals([" ".join(["often", *words[k : k + 20_000]])])
+        kept = own.whole, own.whole.earlier
+        assert sum(sum(map(sys.getsizeof, d)) + sys.getsizeof(d) for d in kept) < 48 << 20
+        assert "often" in own.whole or "often" in own.whole.earlier  # a full memory keeps what was met lately
+    assert own.totals([words[0], words[-1]]) == [len(pieces.encode(w)) for w in (words[0], words[-1])]
+
+
+def test_new_words_are_looked_through_once(pieces, monkeypatch):
+    """A start is followed as far as some piece begins so, not to the longest piece's length, and no place beyond a word's end is looked at."""
+    own, rnd = token_counts.PrefixCounter(PIECES), random.Random(6)
+    asked = []
+    get = kernels.HashMap.get
+    monkeypatch.setattr(kernels.HashMap, "get", lambda self, keys: (asked.append(keys.size if self is own.by_hash else 0), get(self, keys))[1])
+    words = [" " + "".join(rnd.choice("abcdefghiklmnoprstuvwz") for _ in range(rnd.randrange(6, 24))) for _ in range(4000)]
+    assert [int(own.counts_of(x).sum()) for x in own.numbers([[w] for w in words])] == [len(pieces.encode(w[1:])) for w in words]
+    assert sum(asked) < 6 * sum(map(len, words))
+
+
+def test_pairs_are_encoded_as_the_library_does(pieces):
+    own, rnd = token_counts.PrefixCounter(PIECES), random.Random(7)
+    usual = [k for k in own.ids.values() if not own.pieces[k].startswith(" ")]
+    for _ in range(20_000):
+        a, b = rnd.choice(usual), rnd.choice(usual)
+        left, right = own.pieces[a], own.pieces[b]
+        symbols = [*left, *right]
+        while found := [(-own.scores[x], k) for k in range(len(symbols) - 1) if (x := symbols[k] + symbols[k + 1]) in own.scores]:
+            k = min(found)[1]
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+        assert own._pair(a, b) == (symbols == [left, right]), (left, right)
+
+
+def test_lengths_for_packing_on_hard_rows(hard, pieces):
+    got = token_counts.count_tokens(hard, PIECES).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == Counter((r.doc_id, len((r.text or "").encode()), len(pieces.encode(r.text or ""))) for r in hard.collect())
