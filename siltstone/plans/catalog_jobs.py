@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,21 +26,41 @@ from .tables import note_chunks, query_vector, read, session_chunks, turns
 
 
 def named_files(rows: DataFrame, name: str, order: str, line: str, extension: str) -> str:
-    """A new folder with a text file for each name, which may hold folders; lines in order. For made-up sources: the driver renames one file at a time."""
+    """A new folder with a text file for each name, which may hold folders; lines in order. For made-up sources: each task writes its names' files itself, in the shared folder, which must be mounted as files."""
     spark = rows.sparkSession
     folder = scratch(spark, "files")
-    rows.select(F.col(name).alias("_name"), order, line).repartition("_name").sortWithinPartitions("_name", order).select("_name", line).write.partitionBy("_name").text(folder)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for entry in fs.listStatus(path(folder)):
-        key = entry.getPath().getName()
-        if key.startswith("_name="):
-            target = path(f"{folder}/{jvm.java.net.URLDecoder.decode(key[len('_name='):], 'UTF-8')}{extension}")
-            fs.mkdirs(target.getParent())
-            for part in fs.listStatus(entry.getPath()):
-                fs.rename(part.getPath(), target)
-            fs.delete(entry.getPath(), True)
+    if not folder.startswith(("file:", "/")):
+        raise ValueError(f"made-up sources need a shared folder that is mounted as files, not {folder}")
+    root, none = "/" + folder.removeprefix("file:").lstrip("/"), "__HIVE_DEFAULT_PARTITION__"
+
+    # Spark's writer of a file for each key asks the file system a dozen things for each, some by a process of its own.
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, out, made, n = None, None, set(), 0
+        part = f".{uuid.uuid4().hex}.part"
+
+        def done() -> None:
+            if out is not None:
+                out.close()
+                os.replace(f"{root}/{at}{part}", f"{root}/{at}{extension}")
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != at:
+                    done()
+                    at, n = key, n + 1
+                    parent = os.path.dirname(f"{root}/{at}")
+                    if parent not in made:
+                        os.makedirs(parent, exist_ok=True)
+                        made.add(parent)
+                    out = open(f"{root}/{at}{part}", "w", encoding="utf-8", newline="")
+                out.write(f"{text or ''}\n")
+        done()
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    # A number of parts that is given isn't lowered for small rows: a file takes as long as many rows.
+    named = rows.select(F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit(none)).alias("_name"), order, line).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_name").sortWithinPartitions("_name", order)
+    os.makedirs(root, exist_ok=True)
+    named.select("_name", line).mapInArrow(written, "n long").agg(F.sum("n")).collect()
     return folder
 
 

@@ -10,6 +10,8 @@ from ..operators import sessions
 
 #: Fixed value: longer lines are skipped.
 LINE_CHARS = 2_000_000
+#: Chosen files that a filter names, at most; more are joined.
+NAMED = 1000
 _ENTRY = projection.ENTRY
 
 
@@ -38,8 +40,12 @@ def lines(spark: SparkSession, path: str, recursive: bool = True, most_bytes: in
     if most_files is not None:
         # The chosen paths are the listing's first ones; a listing writes file:/x where a row has file:///x.
         plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
-        chosen = listing(spark, path, recursive, most_bytes, most_files).select(plain("source_path").alias("_chosen"))
-        cut = cut.join(chosen, plain(F.col("source_path")) == F.col("_chosen"), "left_semi")
+        chosen = listing(spark, path, recursive, most_bytes, most_files).select(plain(F.col("source_path")).alias("_chosen"))
+        if most_files <= NAMED:
+            # Named in the filter, so that no other file is opened.
+            cut = cut.filter(plain(F.col("source_path")).isin([r[0] for r in chosen.collect()]))
+        else:
+            cut = cut.join(chosen, plain(F.col("source_path")) == F.col("_chosen"), "left_semi")
     return cut.filter((F.length(F.trim("line")) > 0) & (F.length("line") <= LINE_CHARS)).withColumn("session_id", session_of("source_path"))
 
 

@@ -1,0 +1,48 @@
+"""What keeps a query's cost in proportion to its input: files written by tasks and read once."""
+
+import os
+import shutil
+
+from siltstone.plans import catalog_jobs, jobs
+from siltstone.sources import files, transcripts
+
+
+def test_made_files_are_written_by_tasks(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda *a: 1 / 0)
+    rows = spark.createDataFrame([("p0/a b", 2, "zwei\n"), ("p0/a b", 1, "é"), ("p1/c", 1, None), (None, 1, "x")], "name string, at int, line string")
+    folder = catalog_jobs.named_files(rows, "name", "at", "line", ".md").removeprefix("file:")
+    found = {os.path.relpath(f"{d}/{f}", folder): open(f"{d}/{f}", encoding="utf-8").read() for d, _, names in os.walk(folder) for f in names}
+    assert found == {"p0/a b.md": "é\nzwei\n\n", "p1/c.md": "\n", "__HIVE_DEFAULT_PARTITION__.md": "x\n"}
+
+
+def test_chosen_files_are_named_and_not_joined(spark, tmp_path, monkeypatch):
+    for k in range(5):
+        (tmp_path / f"s {k}.jsonl").write_text(f'{{"type": "user", "n": {k}}}\n')
+    got = transcripts.lines(spark, str(tmp_path), most_files=2)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(transcripts, "NAMED", 1)
+    assert sorted(map(str, got.select("line").collect())) == sorted(map(str, transcripts.lines(spark, str(tmp_path), most_files=2).select("line").collect()))
+
+
+def test_an_ingest_reads_its_files_once(spark, tmp_path):
+    source, work = tmp_path / "in", str(tmp_path / "work")
+    source.mkdir()
+    (source / "s.jsonl").write_text('{"type": "user", "timestamp": "t1", "message": {"role": "user", "content": "hi"}}\nnot json\n')
+    read = jobs.read_source(spark, files.Source("x", "transcripts", str(source), "box"), "siltstone", work=work)
+    shutil.rmtree(source)
+    assert [r.text for r in read.turns.collect()] == ["hi"] and read.facts.count() == 1 and [r.line for r in read.bad.collect()] == ["not json"]
+
+
+def test_an_ingest_of_notes_reads_its_files_once(spark, tmp_path, monkeypatch):
+    read, source = [], tmp_path / "in"
+    source.mkdir()
+    (source / "a.md").write_text("# T\nwords")
+    (source / "b.md").write_text(" \n")
+    (source / "c.md").write_text("passwd: s3cr3t-1-value")
+    known = jobs.ingest.split_notes
+    # The folder is gone once its chunks are written.
+    monkeypatch.setattr(jobs.ingest, "split_notes", lambda *a: read.append(shutil.rmtree(source)) or known(*a))
+    record = jobs.ingest_source(spark, files.Source("n", "notes", str(source), "box"), str(tmp_path / "store"), "batch", "siltstone")
+    assert read and (record["files_total"], record["windows_inserted"], record["windows_quarantined"]) == (3, 1, 1)
