@@ -104,13 +104,23 @@ def ingest(
     return Ingested(chunks, quarantine, facts.join(fresh.select(session).distinct(), session, "left_semi"), text, scanned, fresh)
 
 
-def ingest_notes(notes: DataFrame, stored: DataFrame | None, batch: str, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
-    """Note chunks that aren't stored: those without a secret (source_path, source_type, section_title, content, content_hash, embedding, last_modified), and the quarantine's rows of the others."""
-    embedder = embedder or HashEmbedder()
+def scanned_notes(notes: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Note chunks that aren't stored, with content_hash, reason and matched."""
     cut = windowing.markdown_chunks(notes).withColumn("content_hash", F.sha2("content", 256)).dropDuplicates(["source_path", "content_hash"])
     if stored is not None:
         cut = cut.join(stored.select("source_path", "content_hash"), ["source_path", "content_hash"], "left_anti")
     cut = cut.withColumn("_v", privacy.scan(F.col("content"))).withColumns({"reason": F.col("_v.reason"), "matched": F.col("_v.matched")})
+    return cut.select("source_path", "source_type", "section_title", "content", "content_hash", "last_modified", "reason", "matched")
+
+
+def split_notes(scanned: DataFrame, batch: str, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scanned chunks as those without a secret (source_path, source_type, section_title, content, content_hash, embedding, last_modified), and the quarantine's rows of the others."""
+    embedder = embedder or HashEmbedder()
     content = texts.sanitize(F.col("content"))
-    kept = cut.filter("reason is null").select("source_path", "source_type", "section_title", content.alias("content"), "content_hash", embedder.embed(F.col("content")).alias("embedding"), "last_modified", F.lit(batch).alias("ingest_batch"))
-    return kept, quarantine_rows(cut.filter("reason is not null"), "note_chunks", F.col("source_path"), F.lit(None).cast("string"), batch)
+    kept = scanned.filter("reason is null").select("source_path", "source_type", "section_title", content.alias("content"), "content_hash", embedder.embed(F.col("content")).alias("embedding"), "last_modified", F.lit(batch).alias("ingest_batch"))
+    return kept, quarantine_rows(scanned.filter("reason is not null"), "note_chunks", F.col("source_path"), F.lit(None).cast("string"), batch)
+
+
+def ingest_notes(notes: DataFrame, stored: DataFrame | None, batch: str, embedder: Embedder | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a batch of notes adds: see split_notes."""
+    return split_notes(scanned_notes(notes, stored), batch, embedder)

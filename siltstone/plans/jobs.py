@@ -54,14 +54,23 @@ class Read:
     bad: DataFrame | None = None
 
 
-def read_source(spark: SparkSession, source: files.Source, product: str, most_bytes: int | None = None, most_files: int | None = None) -> Read:
-    """A source's turns: session_id, turn_index, role, text, occurred_at, tools_called, is_meta_message."""
+def _written(rows: DataFrame, path: str) -> DataFrame:
+    """rows, worked out once."""
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def read_source(spark: SparkSession, source: files.Source, product: str, most_bytes: int | None = None, most_files: int | None = None, work: str | None = None) -> Read:
+    """A source's turns: session_id, turn_index, role, text, occurred_at, tools_called, is_meta_message. Of transcripts, the entries and turns are kept in the work folder, if there is one: each file is then read once."""
     if source.kind in {"transcripts", "transcripts-flat"}:
         parsed = transcripts.parse(transcripts.lines(spark, source.root, source.kind == "transcripts", most_bytes, most_files))
+        if work is not None:
+            parsed = _written(parsed.withColumn("line", F.when(F.col("entry").isNull(), F.col("line"))), f"{work}/parsed.parquet")
         sizes = parsed.groupBy("session_id").agg(F.min("source_path").alias("source_path"), F.max("byte_size").alias("byte_size"))
         facts = transcripts.session_facts(parsed).join(sizes, "session_id")
         meta = transcripts.meta_sessions(parsed.filter("entry is not null"), product)
-        return Read(transcripts.to_turns(parsed, product), facts, meta, transcripts.bad_lines(parsed))
+        turns = transcripts.to_turns(parsed, product)
+        return Read(turns if work is None else _written(turns, f"{work}/turns.parquet"), facts, meta, transcripts.bad_lines(parsed))
     whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(source.root, wholetext=True)
     rows = whole.select(F.col("value").alias("json"), F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("folder"))
     read: dict[str, Callable[[], DataFrame]] = {
@@ -134,10 +143,12 @@ def ingest_source(
 
 
 def _ingest_notes(spark, source, folder, work, batch, product, embedder, prefixer, dry_run, run, **caps) -> dict:
-    notes = files.notes(spark, source.root)
-    total = notes.select("source_path").count()
+    seen = Observation()
+    notes = files.notes(spark, source.root).observe(seen, F.count(F.lit(1)).alias("n"))
+    scanned = _written(ingest.scanned_notes(notes, stored(spark, folder, "note_chunks")), f"{work}/scanned.parquet")
+    total = seen.get["n"]
     run.tell("running", files_total=total)
-    rows, secret = ingest.ingest_notes(notes, stored(spark, folder, "note_chunks"), batch, embedder)
+    rows, secret = ingest.split_notes(scanned, batch, embedder)
     rows = rows.select(F.xxhash64("source_path", "content_hash").alias("chunk_id"), "*", F.lit("owner").alias("owner"), F.lit(source.machine).alias("source_machine"), F.current_timestamp().alias("updated_at"))
     # The quarantine first: its plan reads the chunks as they were.
     secret = _append(_unseen_secrets(spark, folder, secret), f"{folder}/quarantine.parquet", not dry_run)
@@ -155,7 +166,7 @@ def _unseen_secrets(spark: SparkSession, folder: str, secret: DataFrame) -> Data
 
 
 def _ingest_turns(spark, source, folder, work, batch, product, embedder, prefixer, dry_run, run, **caps) -> dict:
-    read = read_source(spark, source, product, **caps)
+    read = read_source(spark, source, product, work=work, **caps)
     scanned_at = f"{work}/scanned.parquet"
     total = _append(ingest.scanned_windows(read.turns), scanned_at, True)["n"]
     sessions_seen = read.facts.count()
