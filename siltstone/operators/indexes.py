@@ -17,6 +17,7 @@ repeated ids are rows of their own in the vector index and one text in the lexic
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -31,6 +32,8 @@ from ..functions import english, fulltext, vector
 
 #: Vectors that centroids are fitted on, at most; rounds of fitting; folders of postings.
 SAMPLE, ROUNDS, BUCKETS = 20_000, 12, 64
+#: Queries that a task takes against a batch of rows at once.
+ASKED = 256
 
 
 def fit_centroids(sample: np.ndarray, cells: int) -> np.ndarray:
@@ -91,12 +94,39 @@ class VectorIndex:
         return semantic_topk(rows, query, k, self.id_col)
 
     def recall(self, queries: Sequence[Sequence[float]], k: int, probes: int) -> float:
-        """The share of the k nearest rows that `probes` cells hold, over the queries."""
-        hit = total = 0
-        for q in queries:
-            want = {r[0] for r in self.search(q, k).collect()}
-            total += len(want)
-            hit += len(want & {r[0] for r in self.search(q, k, probes).collect()})
+        """The share of the k nearest rows that `probes` cells hold, over the queries. One pass over the rows takes every query against every row; a task keeps each query's k nearest."""
+        asked = np.array([q for q in queries if np.linalg.norm(q)], float)
+        if not len(asked) or not len(self.centres):
+            return 1.0
+        asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+        read = np.zeros((len(asked), len(self.centres)), bool)
+        np.put_along_axis(read, np.argsort(np.arccos(np.clip(asked @ self.centres.T, -1, 1)), axis=1, kind="stable")[:, :probes], True, axis=1)
+        sent, id_col, block = self.spark.sparkContext.broadcast((asked, read)), self.id_col, ASKED
+
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked, read = sent.value
+            near: tuple[dict, dict] = ({}, {})
+            for pdf in batches:
+                # By id, so that a stable sort by distance leaves ties in the order of ids.
+                pdf = pdf.sort_values(id_col, kind="stable", na_position="first")
+                ids, cells, own = pdf[id_col].tolist(), pdf["cell"].to_numpy(), np.stack(pdf["embedding"].to_list()).astype(float)
+                own /= np.linalg.norm(own, axis=1, keepdims=True)
+                for at in range(0, len(asked), block):
+                    apart = np.round(1 - asked[at : at + block] @ own.T, 9)
+                    for some, found in zip((apart, np.where(read[at : at + block][:, cells], apart, np.inf)), near):
+                        most = np.partition(some, k - 1, axis=1)[:, k - 1] if k < len(ids) else some.max(1)
+                        for q, row in enumerate(some):
+                            best = np.flatnonzero((row <= most[q]) & np.isfinite(row))
+                            best = best[np.argsort(row[best], kind="stable")[:k]]
+                            both = [*found.get(at + q, []), *((float(row[x]), ids[x]) for x in best)]
+                            found[at + q] = sorted(both, key=lambda x: (x[0], x[1] is not None, x[1] if x[1] is not None else 0))[:k]
+            for q, want in near[0].items():
+                yield pd.DataFrame({"q": [q], "want": [[{"d": d, "id": i} for d, i in want]], "got": [[{"d": d, "id": i} for d, i in near[1][q]]]})
+
+        listed = f"array<struct<d:double,id:{self.schema[id_col].dataType.simpleString()}>>"
+        found = self.spark.read.schema(self.schema).parquet(self.path).select(id_col, "cell", "embedding").mapInPandas(nearest, f"q long, want {listed}, got {listed}")
+        first = lambda c: F.array_distinct(F.transform(F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k), lambda x: x["id"]))
+        hit, total = found.groupBy("q").agg(first("want").alias("want"), first("got").alias("got")).agg(F.sum(F.size(F.array_intersect("want", "got"))), F.sum(F.size("want"))).first()
         return hit / total if total else 1.0
 
 
@@ -152,7 +182,11 @@ class LexicalIndex:
         words = sorted({w for alternative in terms for _, some in alternative for w in some if w})
         scored = list(dict.fromkeys(w for alternative in terms for wanted, some in alternative if wanted for w in some if w))
         rows = self.postings(words)
-        texts = rows.groupBy(self.id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "positions"))).alias("at"), F.first("n_tokens").alias("n"))
+        listed = rows.groupBy(self.id_col).agg(F.collect_list(F.struct("word", "positions")).alias("_l"), F.first("n_tokens").alias("n"))
+        # A repeated id has several rows of a word.
+        of = lambda w: F.array_sort(F.flatten(F.transform(F.filter("_l", lambda x: x["word"] == w), lambda x: x["positions"])))
+        places = [of(w) for w in words]
+        texts = listed.select(self.id_col, "n", (F.map_from_arrays(F.array(*map(F.lit, words)), F.array(*places)) if words else F.create_map()).alias("at"))
         at = lambda w: F.coalesce(F.element_at("at", F.lit(w)), F.array().cast("array<int>"))
 
         def stands(some: list[str]) -> Column:
@@ -189,22 +223,35 @@ class LexicalIndex:
 
 def bucket_of(word: str) -> int:
     """The folder of a word: the same sum of its bytes here and in bucket_column."""
-    out = 7
-    for b in word.encode():
-        out = (out * 31 + b) % 1_000_003
-    return out % BUCKETS
+    return zlib.crc32(word.encode()) % BUCKETS
 
 
 def bucket_column(word: Column) -> Column:
-    codes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda k: F.ascii(F.substring(word, k, F.lit(1))))
-    return F.pmod(F.aggregate(codes, F.lit(7).cast("long"), lambda acc, b: F.pmod(acc * 31 + b, F.lit(1_000_003).cast("long"))), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(word.cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def word_places(tokens: Column) -> Column:
+    """array<struct<word, positions>> of a text's tokens: sorted with their places, then cut where the word changes, so all in the row."""
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    word = lambda s, k: F.get(s, k)["word"]
+    placed = F.array_sort(F.filter(F.transform(tokens, lambda w, k: F.struct(w.alias("word"), k.alias("at"))), lambda x: x["word"] != ""))
+
+    def listed(s: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda first, n: F.struct(
+            word(s, first).alias("word"), F.transform(F.slice(s, first + 1, F.coalesce(F.get(starts, n + 1), F.size(s)) - first), lambda x: x["at"]).alias("positions")))
+
+    def cut(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        return bound(F.filter(places, lambda k: (k == 0) | (word(s, k) != word(s, k - 1))), lambda starts: listed(s, starts))
+
+    return bound(placed, cut)
 
 
 def lexical_index(rows: DataFrame, path: str, id_col: str = "chunk_id", content: str = "content", config: str = "simple") -> LexicalIndex:
     """Write the postings of all texts. config: simple tokens, or english stems without stop words."""
     found = rows.select(id_col, (fulltext.tokens(F.col(content)) if config == "simple" else english.lexemes(F.col(content))).alias("_t"))
-    each = found.select(id_col, F.size("_t").alias("n_tokens"), F.posexplode("_t").alias("_p", "word")).filter("word <> ''")
-    listed = each.groupBy(id_col, "word").agg(F.sort_array(F.collect_list("_p")).alias("positions"), F.first("n_tokens").alias("n_tokens"))
+    # A text's postings are made in its row and written by its task, as many files a folder as the table has parts: nothing is exchanged.
+    listed = found.select(id_col, F.size("_t").alias("n_tokens"), F.explode(word_places(F.col("_t"))).alias("_w")).select(id_col, "_w.word", "_w.positions", "n_tokens")
     listed = listed.withColumn("bucket", bucket_column(F.col("word")))
-    listed.repartition("bucket", F.pmod(F.xxhash64(F.col(id_col)), F.lit(4))).sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(path)
+    listed.sortWithinPartitions("bucket", "word").write.partitionBy("bucket").parquet(path)
     return LexicalIndex(rows.sparkSession, path, id_col, config, listed.schema)
