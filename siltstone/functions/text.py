@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .patterns import AFTER, EDGE, SPACE
+from .patterns import AFTER, BLANKS, EDGE, SPACE, SPACES
 
 # Limits and markers of stored and shown text.
 DOCUMENT_CHARS, DOCUMENT_CUT = 400_000, "\n\n[...session truncated for context...]\n\n"
@@ -16,7 +16,13 @@ SNIPPET_CHARS, CITED_CHARS, PROMPT_CHARS = 300, 200, 1500
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
+    """Without white space at the ends; the characters are compared, as a pattern tries every place of a text."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def is_blank(text: Column) -> Column:
+    """Nothing but white space: what trim leaves empty."""
+    return ~text.rlike(f"[^{SPACES}]")
 
 
 def collapse(text: Column) -> Column:

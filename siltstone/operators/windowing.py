@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import first_heading, trim
+from ..functions.text import first_heading, is_blank, trim
 
 # The window operator's defaults.
 MIN_TURNS, MAX_TURNS, CAP, OVERLAP, CHUNK_OVERLAP = 3, 8, 3200, 1, 200
@@ -138,20 +138,29 @@ def turn_windows(turns: DataFrame, session: str = "session_id", index: str = "tu
     return met.select(session, *facts, F.array_join(F.transform("_all", lambda x: x["_t"]), "\n\n").alias("text"), *more)
 
 
+def _exploded(rows: DataFrame) -> DataFrame:
+    """Rows of an outer posexplode without those of empty arrays.
+
+    A plain one makes the optimizer look first whether the array is empty, below the columns that it is made of: it
+    would be made twice more, and a text's pages anew for each step over them.
+    """
+    return rows.filter("chunk_no is not null")
+
+
 def sub_chunks(rows: DataFrame, text: str = "text", cap: int = CAP) -> DataFrame:
     """rows, one for each sub-chunk of the text, with chunk_no, start_char, end_char; the text is the chunk's."""
     others = [c for c in rows.columns if c != text]
     cut = rows.withColumns({"_pages": pages(F.col(text)), "_n": F.length(text)}).drop(text)
     cut = cut.withColumn("_b", sub_chunk_bounds(F.col("_pages"), F.col("_n"), cap))
     pieces = F.transform("_b", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), stretch(F.col("_pages"), b["start"], b["end"] - b["start"]).alias("t")))
-    out = cut.select(*others, pieces.alias("_p")).select(*others, F.posexplode("_p").alias("chunk_no", "_p"))
+    out = _exploded(cut.select(*others, pieces.alias("_p")).select(*others, F.posexplode_outer("_p").alias("chunk_no", "_p")))
     named = out.select(*others, F.col("_p.t").alias(text), "chunk_no", F.col("_p.start").alias("start_char"), F.col("_p.end").alias("end_char"))
     return named.select(*rows.columns, "chunk_no", "start_char", "end_char")
 
 
 def markdown_chunks(notes: DataFrame, text: str = "text", chunk_by: str = "file", large: int = 8000, target: int = 6000) -> DataFrame:
     """notes, one row for each chunk: chunk_no, section_title, content. chunk_by: file, hr-separator or h2-section."""
-    content, notes = F.col(text), notes.filter(F.length(trim(F.col(text))) > 0)
+    content, notes = F.col(text), notes.filter(~is_blank(F.col(text)))
     if chunk_by == "file":
         notes = notes.withColumns({"_pages": F.when(F.length(content) > large, pages(content)), "_n": F.length(content)})
         pieces = F.transform(oversized_bounds(F.col("_pages"), F.col("_n"), target), lambda b: trim(stretch(F.col("_pages"), b["start"], b["end"] - b["start"])))
@@ -159,7 +168,7 @@ def markdown_chunks(notes: DataFrame, text: str = "text", chunk_by: str = "file"
     else:
         pattern = {"hr-separator": r"\n---+\n", "h2-section": r"(?m)(?=^## )"}[chunk_by]
         parts = F.filter(F.transform(F.split(content, pattern), trim), lambda p: F.length(p) > 20)
-    cut = notes.withColumn("_parts", parts).drop("_pages", "_n").select("*", F.posexplode("_parts").alias("chunk_no", "content")).drop("_parts")
+    cut = _exploded(notes.withColumn("_parts", parts).drop("_pages", "_n").select("*", F.posexplode_outer("_parts").alias("chunk_no", "content"))).drop("_parts")
     return cut.withColumn("section_title", first_heading(F.col("content")))
 
 

@@ -88,3 +88,26 @@ def test_a_secret_scan_spares_texts_without_a_stretch(spark):
     assert [r.want for r in rows.select("want", privacy.scan(F.col("t"))["reason"].alias("got")).filter("not want <=> got").collect()] == []
     plain = rows.filter("want is null").select(*[privacy.could_match(F.lit("plain words"), r).alias(r) for r in some])
     assert not any(plain.first())
+
+
+def test_a_text_is_cut_into_pages_once(spark, tmp_path):
+    from siltstone.operators import windowing
+    from siltstone.plans import catalog
+
+    rows = [(1, "a " * 9000), (2, ""), (3, None), (4, " 　\n"), (5, "short"), (6, " " * 8_001)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (catalog.md_split_oversized, catalog.sub_chunks):
+        assert query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.doc_id, r.chunk_no, len(r.content)) for r in windowing.markdown_chunks(docs).orderBy("doc_id", "chunk_no").collect()] == [(1, 0, 5999), (1, 1, 5999), (1, 2, 5999), (5, 0, 5)]
+    assert {r.doc_id for r in windowing.sub_chunks(docs).collect()} == {1, 4, 5, 6}
+
+
+def test_a_trim_compares_the_ends_alone(spark):
+    from siltstone.functions import patterns, text as texts
+
+    assert "regexp" not in spark.range(1).select(texts.trim(F.lit("x").substr(F.col("id"), F.col("id"))))._jdf.queryExecution().optimizedPlan().toString()
+    ends = [*patterns.BLANKS, patterns.BLANKS, "", "᠎", "​", "\x1c", "\x00", "é"]
+    rows = spark.createDataFrame([(e + f"a{e}b" * k + e, e) for e in ends for k in range(3)] + [(None, None)], "t string, e string")
+    old = F.regexp_replace("t", rf"\A{patterns.SPACE}+|{patterns.SPACE}+\z", "")
+    assert rows.filter(~old.eqNullSafe(texts.trim(F.col("t"))) | ((F.length(old) == 0) != texts.is_blank(F.col("t")))).count() == 0
