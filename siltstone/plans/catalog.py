@@ -607,25 +607,33 @@ def meta_flags(spark: SparkSession, d: str) -> DataFrame:
 _TOOLS = ["Read", "Edit", "Write", "Bash", "Task", "Grep", "Glob", "WebFetch", "WebSearch", "TodoWrite", "Other"]
 
 
+def _one_liners(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """doc_id, line of calls of the tool-th tool with v as each argument.
+
+    Each step is a step of the plan as well: v, the arguments and the line are used several times and made once.
+    """
+    called = rows.withColumn("name", F.element_at(F.array(*map(F.lit, _TOOLS)), F.col("tool").cast("int")))
+    called = called.withColumn("args", F.to_json(F.struct(*[F.col("v").alias(k) for k in keys])))
+    return called.select("doc_id", projection.one_liner(F.col("name"), F.col("args")).alias("line"))
+
+
 @registered("""WITH t AS (SELECT doc_id, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS v, doc_id % 11 AS k FROM documents)
     SELECT doc_id, sha256(CASE k WHEN 0 THEN '[Read: ' || v || ']' WHEN 1 THEN '[Edit: ' || v || ' (' || left(v, 40) || '...)]' WHEN 2 THEN '[Write: ' || v || ']' WHEN 3 THEN '[Bash: ' || left(v, 60) || ']'
     WHEN 4 THEN '[Task: "' || left(v, 50) || '" → general-purpose]' WHEN 5 THEN '[Grep: ?]' WHEN 6 THEN '[Glob: ?]' WHEN 7 THEN '[WebFetch: ' || left(v, 60) || ']' WHEN 8 THEN '[WebSearch: ' || v || ']' WHEN 9 THEN '[TodoWrite]' ELSE '[Other]' END) AS line_sha256 FROM t""")
 def tool_one_liners(spark: SparkSession, d: str) -> DataFrame:
     """Arguments of all letters and spaces of the text; the operator's own lengths cut."""
-    v = F.regexp_replace("text", "[^A-Za-z ]", "")
-    args = F.to_json(F.struct(*[v.alias(k) for k in ("file_path", "old_string", "command", "description", "url", "query")]))
-    name = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.col("doc_id") % 11 + 1).cast("int"))
-    return read(spark, d, "documents").select("doc_id", F.sha2(projection.one_liner(name, args), 256).alias("line_sha256"))
+    # Runs that stay are found several times faster than characters that go.
+    v = F.array_join(F.regexp_extract_all("text", F.lit("[A-Za-z ]+"), F.lit(0)), "")
+    rows = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 11 + 1).alias("tool"), v.alias("v"))
+    return _one_liners(rows, ["file_path", "old_string", "command", "description", "url", "query"]).select("doc_id", F.sha2("line", 256).alias("line_sha256"))
 
 
 @registered()
 def tool_one_liners_whole(spark: SparkSession, d: str) -> DataFrame:
     """Arguments of the whole text as it stands, cut by the operator's own lengths only; no SQL: a test holds it against plain Python."""
-    v = F.coalesce("text", F.lit(""))
-    args = F.to_json(F.struct(*[v.alias(k) for k in ("file_path", "old_string", "command", "description", "pattern", "url", "query")]))
-    name = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.pmod("doc_id", F.lit(len(_TOOLS))) + 1).cast("int"))
-    line = projection.one_liner(name, args)
-    return read(spark, d, "documents").select("doc_id", F.length(line).cast("long").alias("chars"), F.sha2(line, 256).alias("line_sha256"))
+    rows = read(spark, d, "documents").select("doc_id", (F.pmod("doc_id", F.lit(len(_TOOLS))) + 1).alias("tool"), F.coalesce("text", F.lit("")).alias("v"))
+    lines = _one_liners(rows, ["file_path", "old_string", "command", "description", "pattern", "url", "query"])
+    return lines.select("doc_id", F.length("line").cast("long").alias("chars"), F.sha2("line", 256).alias("line_sha256"))
 
 
 @registered("""SELECT 'c' || conv_id AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn_index, CASE role WHEN 'user' THEN 'user' ELSE 'assistant' END AS role,

@@ -111,3 +111,22 @@ def test_a_trim_compares_the_ends_alone(spark):
     rows = spark.createDataFrame([(e + f"a{e}b" * k + e, e) for e in ends for k in range(3)] + [(None, None)], "t string, e string")
     old = F.regexp_replace("t", rf"\A{patterns.SPACE}+|{patterns.SPACE}+\z", "")
     assert rows.filter(~old.eqNullSafe(texts.trim(F.col("t"))) | ((F.length(old) == 0) != texts.is_blank(F.col("t")))).count() == 0
+
+
+def test_one_liners_make_their_arguments_once(spark, tmp_path):
+    import hashlib
+    import re
+
+    from siltstone.plans import catalog
+
+    texts = ["a1b, C\n\nd é漢🙂 e_f [^]", "", None, "12\n", " x ", "word, " * 3_000]
+    rows = [(11 * k + j, t) for j, t in enumerate(texts) for k in range(2)] + [(8, "x-y"), (10, "q")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for query in (catalog.tool_one_liners, catalog.tool_one_liners_whole):
+        plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("StructsToJsonEvaluator") == 1 and plan.count("regexp_") <= 1
+    letters = lambda t: "?" if t is None else re.sub("[^A-Za-z ]", "", t)
+    shown = [lambda v: f"[Read: {v}]", lambda v: f"[Edit: {v} ({v[:40]}...)]", lambda v: f"[Write: {v}]", lambda v: f"[Bash: {v[:60]}]", lambda v: f'[Task: "{v[:50]}" → general-purpose]', lambda v: "[Grep: ?]"]
+    shown = {**dict(enumerate(shown)), 8: lambda v: f"[WebSearch: {v}]", 10: lambda v: "[Other]"}
+    want = sorted((k, hashlib.sha256(shown[k % 11](letters(t)).encode()).hexdigest()) for k, t in rows)
+    assert sorted(map(tuple, catalog.tool_one_liners(spark, str(tmp_path)).collect())) == want
