@@ -36,8 +36,8 @@ def lexical_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id"
 
 def english_topk(chunks: DataFrame, query: str, k: int, id_col: str = "chunk_id", content: str = "content") -> DataFrame:
     """(id, score, rank) of the k best rows that match the query's English stems, by cover density."""
-    hits = chunks.select(id_col, english.lexemes(F.col(content)).alias("_stems")).filter(english.matches(F.col("_stems"), query))
-    top = hits.select(id_col, english.cover_density(F.col("_stems"), query).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
+    hits = chunks.select(id_col, english.cover_density(F.col(content), query).alias("score")).filter("score is not null")
+    top = hits.orderBy(F.desc("score"), id_col).limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)).cast("long"))
 
 
