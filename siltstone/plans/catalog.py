@@ -403,7 +403,7 @@ def md_first_heading(spark: SparkSession, d: str) -> DataFrame:
       FROM (SELECT r.*, items >= 16 OR tokens + t2.n > 20000 AS full_ FROM r JOIN t t2 ON t2.source = r.source AND t2.block = r.block AND t2.i = r.i + 1) q JOIN t ON t.source = q.source AND t.block = q.block AND t.i = q.i + 1)
     SELECT source, doc_id, batch FROM r""")
 def embed_batches(spark: SparkSession, d: str) -> DataFrame:
-    """Greedy batches in id order, one running fold over each source; blocks of ids only share out the work. The SQL starts anew at each 100,000 ids, so the two agree below that."""
+    """Greedy batches in id order, one running fold over each source; blocks of ids only share out the work. The SQL starts anew at each 100,000 ids, so the two agree below that where no text, source or id is null."""
     rows = read(spark, d, "documents").select("source", "doc_id", F.coalesce(texts.estimated_tokens(F.col("text")), F.lit(0)).cast("long").alias("n"), F.expr("doc_id div 100000").alias("block"))
     return windowing.running_batches(rows, "source", "doc_id", "n", "block", 16, 20_000)
 
